@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
+from . import bpe_chunks, media, packing
 from .common import documents
 
 
@@ -12,9 +13,19 @@ def op6_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_sniff(documents(spark, sf_dir))
 
 
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
         "op6_signature_sniffing": op6_signature_sniffing,
+        "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
+        "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
     }
 
 
