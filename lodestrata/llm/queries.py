@@ -5,8 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, media, packing
-from .common import documents
+from . import bpe_chunks, iforest, media, packing
+from .common import documents, labels
+
+
+def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iforest.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op6_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +27,7 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_isolation_forest": op3_isolation_forest,
         "op6_signature_sniffing": op6_signature_sniffing,
         "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
         "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
