@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, iforest, media, packing
+from . import bpe_chunks, iforest, langid, media, packing
 from .common import documents, labels
 
 
@@ -21,6 +21,10 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,6 +34,7 @@ def queries() -> dict:
         "op3_isolation_forest": op3_isolation_forest,
         "op6_signature_sniffing": op6_signature_sniffing,
         "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
+        "op9_language_bitmask": op9_language_bitmask,
         "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
     }
 
