@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, iforest, langid, media, packing, toxicity
+from . import bpe_chunks, iforest, langid, media, packing, pii, toxicity
 from .common import documents, labels
 
 
@@ -13,6 +13,10 @@ def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iforest.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -36,6 +40,7 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_isolation_forest": op3_isolation_forest,
+        "op4_weak_supervision": op4_weak_supervision,
         "op5_string_kernel": op5_string_kernel,
         "op6_signature_sniffing": op6_signature_sniffing,
         "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
