@@ -15,7 +15,6 @@ Repeated rows are packed one by one.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,70 +26,47 @@ from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
 from .common import batch_of, id_and_bytes, materialize
+from .units import UnitCache
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces that one group packs; bounds a task's memory at any input size.
 GROUP_PIECES = 16384
-#: Words that a worker remembers; the memory is emptied when it is full.
-CACHE_WORDS = 400_000
 
 
-class WordCodec:
+class WordCodec(UnitCache):
     """Encoder for a tokenizer that drops white space and never joins across it.
 
-    The text's white-space-parted words can then be encoded apart, each once. A
-    word of Latin letters with one full stop or comma after it is two pre-tokens,
-    so the letters share one entry with the bare word.
+    The text's white-space-parted words are encoded apart, each once. Words of
+    letters are in lower case and composed already, so the light tokenizer needs
+    the byte-level spelling only; the vocabulary marks the ends of words.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        whole, marked = set(), []
-        for w in words:
-            if w[-1:] in (b".", b",") and _latin(w[:-1]):
-                marked.append(w)
-                whole.update(x for x in (w[:-1], w[-1:]) if x not in self.known)
-            else:
-                whole.add(w)
-        todo = list(whole)
-        for k in range(0, len(todo), 4096):
-            some = todo[k : k + 4096]
-            for w, found in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(found.ids, dtype="<u4").tobytes()
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+        super().__init__(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_unit = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends_unit[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+        self.light = Tokenizer(self.tokenizer.model)
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def encode_plain(self, words: list[bytes]) -> list[bytes]:
+        ids = np.array(self.light.encode_batch_fast([b" ".join(words).decode().lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self.ends_unit[ids]) + 1) * 4
+        packed = ids.tobytes()
+        return [packed[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        split = [raw.split() for raw in texts]  # at ASCII white space only
-        new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(list(new))
+        # Lower case comes before all else in the tokenizer, but for special tokens ("<|...|>").
+        split = [(raw if b"<|" in raw else raw.lower()).split() for raw in texts]  # at ASCII white space only
+        self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-def _latin(word: bytes) -> bool:
-    """Only letters, all in the blocks that every Unicode version agrees on."""
-    if word.isalpha():
-        return True
-    if word.isascii():
-        return False
-    text = word.decode("utf-8", "replace")
-    return text.isalpha() and text.lower().isalpha() and max(text) < "ƀ"
-
-
 _codecs: dict[str, WordCodec] = {}
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
