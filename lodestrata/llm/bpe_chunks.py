@@ -3,23 +3,25 @@
 A rolling hash over the bytes picks chunk ends from content alone, so a passage
 that many documents share is cut alike in all of them and its chunks are encoded
 once per worker. A chunk's ids hold in any surroundings only between its
-outermost *agreed* cuts: a cut "letter | space letter" is a pre-token boundary
-whatever stands around it, because no alternative of the byte-level pattern runs
-from a letter into a space, none looks behind, and no special token holds a
-space. So each chunk keeps the ids between its first and its last agreed cut, and
-the window over each join, from the last agreed cut before it to the first one
-after it, is re-encoded. Where a chunk has no agreed cut the window grows over
-it and on into the next, so the result always equals encoding the whole text.
-
-Memory: the caches of chunks and windows are emptied whenever they pass
-``CACHE_BYTES``; that changes speed only. Null text: as an empty one (no ids).
+outermost *agreed* cuts: a cut before a single space between two visible
+characters is a pre-token boundary whatever stands around it, because no
+alternative of the byte-level pattern runs from a visible character into a space,
+none looks behind, and no special token holds a space. So each chunk keeps the
+ids between its first and its last agreed cut, and the window over each join,
+from the last agreed cut before it to the first one after it, is re-encoded.
+Where a chunk has no agreed cut the window grows over it and on into the next,
+so the result always equals encoding the whole text. A chunk that isn't known is
+put together from units, the stretches between its agreed cuts, which are
+remembered too.
+
+Memory: the caches of chunks and units are emptied whenever they are full; that
+changes speed only. Null text: as an empty one (no ids).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batch_of, id_and_bytes
+from .units import UnitCache
 
 CACHE_BYTES = 64 << 20
 #: A chunk ends where so many low bits of the rolling hash are 0: 1024 bytes on average.
@@ -34,8 +37,10 @@ CHUNK_BITS = 10
 WINDOW = 16
 
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1] = True
+_VISIBLE = np.zeros(256, dtype=bool)
+_VISIBLE[33:127] = True
+#: First byte of the letters from U+00C0 to U+00FF (and two signs), all visible.
+_LATIN = 0xC3
 
 
 def chunk_ends(data: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
@@ -49,9 +54,12 @@ def chunk_ends(data: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
 
 
 def agreed_cuts(data: np.ndarray) -> np.ndarray:
-    """Positions of a space between two ASCII letters."""
-    letter = _LETTER[data]
-    return np.flatnonzero((data[1:-1] == 0x20) & letter[:-2] & letter[2:]) + 1
+    """Positions of a space between two visible characters (ASCII or U+00C0 to U+00FF)."""
+    space = np.flatnonzero(data == 0x20)
+    space = space[(space > 0) & (space < len(data) - 1)]
+    before, after = data[space - 1], data[space + 1]
+    latin = (data[space - 2] == _LATIN) & (space > 1)  # place -1 of a short text doesn't count
+    return space[(_VISIBLE[before] | latin) & (_VISIBLE[after] | (after == _LATIN))]
 
 
 def parts_of(data: np.ndarray) -> list[tuple[int, int]]:
@@ -72,35 +80,46 @@ def parts_of(data: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
-class ChunkCodec:
+class ChunkCodec(UnitCache):
     """Encoder and decoder of one tokenizer file, with its caches."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        super().__init__(path)
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cache: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
         self.held = 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pieces = token_bytes(spec)
+        self.newline = self.pieces.index(b"\n")
+        self.light = Tokenizer(self.tokenizer.model)
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def encode_plain(self, units: list[bytes]) -> list[bytes]:
+        """Units of one pre-token, without line ends, parted by line ends."""
+        ids = np.array(self.light.encode_batch_fast([b"\n".join(units).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(ids == self.newline) * 4
+        packed = ids.tobytes()
+        return [packed[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(packed)], strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if self.held > CACHE_BYTES:
-            self.cache, self.held = {}, 0
+            self.chunks, self.held = {}, 0
+        chunks = self.chunks
         parts = [[raw[a:b] for a, b in parts_of(np.frombuffer(raw, dtype=np.uint8))] for raw in texts]
-        cache = self.cache
-        new = list({p for row in parts for p in row if p not in cache})
-        for k in range(0, len(new), 1024):
-            some = new[k : k + 1024]
-            for p, found in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
-                cache[p] = ids = np.array(found.ids, dtype="<u4").tobytes()
-                self.held += len(p) + len(ids) + 120
-        return [b"".join([cache[p] for p in row]) for row in parts]
+        new = {p for row in parts for p in row if p not in chunks}
+        units = {}
+        for p in new:
+            cuts = [0, *agreed_cuts(np.frombuffer(p, dtype=np.uint8)).tolist(), len(p)]
+            units[p] = [p[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.learn(set().union(*units.values()))
+        get = self.known.__getitem__
+        for p, some in units.items():
+            chunks[p] = ids = b"".join(map(get, some))
+            self.held += len(p) + len(ids) + 120
+        return [b"".join([chunks[p] for p in row]) for row in parts]
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode with special tokens kept."""
