@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,5 +84,33 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
 
 
+#: Bits of the bitmap that says which ids are wanted.
+FILTER_BITS = 1 << 24
+
+
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, raw) of at least all rows whose id is in ``ids`` (id).
+
+    A bitmap of fixed size goes to the executors, so that a later shuffle leaves
+    out most other texts; with very many ids it lets all pass, which only costs time.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    placed = ids.select(place(F.col("id")).alias("h"))
+    parts = placed.groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in parts:
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            h = batch.column(2).to_numpy() - 1
+            yield batch.select(["doc_id", "raw"]).filter(pa.array((wanted[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+
+    texts = id_and_bytes(docs).where("doc_id is not null")
+    return texts.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", place(F.col("doc_id"))).mapInArrow(each, "doc_id long, raw binary")
+
+
 def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

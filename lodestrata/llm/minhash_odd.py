@@ -20,7 +20,7 @@ A pair at the threshold (0.85) shares no band with probability below 1e-6 and mi
 the estimate's margin with about 1e-5; farther above, both vanish. Shingles are told apart by 64-bit
 hashes, classes by 128-bit sums over them.
 
-Nothing but a bitmap of fixed size (FILTER_BITS) reaches the driver.
+Nothing but a bitmap of fixed size (see ``marked``) reaches the driver.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with nothing, as is a
 row with a null id; fewer words than a shingle make one shingle; rows that repeat a doc_id are one
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, materialize
+from .common import batch_of, id_and_bytes, marked, materialize
 from .shingles import mixed, shingle_sets
 
 SHINGLE = 3
@@ -48,7 +48,6 @@ BANDS, ROWS = 32, 6
 SKETCH_BITS = 2048
 MARGIN = 0.05
 BLOCK = 4096
-FILTER_BITS = 1 << 24
 
 _WORDS = SKETCH_BITS // 64
 _FACTORS = np.random.default_rng(6).integers(0, 2**64, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -111,29 +110,15 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, hashes) for at least all rows whose id is in ``ids``.
-
-    A bitmap of fixed size says which rows to compute; no text is shuffled.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
-    marked = ids.select(place(F.col("id")).alias("h"))
-    parts = marked.groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in parts:
-        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    """(id, hashes) for at least all rows whose id is in ``ids``; no text is shuffled."""
     schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
-        for batch in batches:
-            h = batch.column(2).to_numpy() - 1
-            batch = batch.filter(pa.array((wanted[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
-            for part in slices(batch, 2 << 20):
-                sets = shingle_sets([x or b"" for x in part.column(1).to_pylist()], size)
-                yield batch_of(schema, {"id": part.column(0).to_pylist(), "hashes": [x.tobytes() for x in sets]})
+        for part in (part for whole in batches for part in slices(whole, 2 << 20)):
+            sets = shingle_sets([x or b"" for x in part.column(1).to_pylist()], size)
+            yield batch_of(schema, {"id": part.column(0).to_pylist(), "hashes": [x.tobytes() for x in sets]})
 
-    return id_and_bytes(docs).where("doc_id is not null").withColumn("h", place(F.col("doc_id"))).mapInArrow(each, "id long, hashes binary")
+    return marked(docs, ids).mapInArrow(each, "id long, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, iforest, langid, media, minhash_odd, packing, pii, toxicity
+from . import bpe_chunks, iforest, langid, media, minhash_odd, packing, pii, suffix_dedup, toxicity
 from .common import documents, labels
 
 
@@ -33,6 +33,10 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_lyndon_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op9_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def queries() -> dict:
         "op5_string_kernel": op5_string_kernel,
         "op6_signature_sniffing": op6_signature_sniffing,
         "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
+        "op8_lyndon_suffix_sort": op8_lyndon_suffix_sort,
         "op9_language_bitmask": op9_language_bitmask,
         "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
     }
