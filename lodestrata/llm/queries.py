@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, iforest, langid, media, minhash_odd, packing, pii, suffix_dedup, toxicity
+from . import bpe_chunks, iforest, langid, media, minhash_odd, mixing_lm, packing, pii, suffix_dedup, toxicity
 from .common import documents, labels
 
 
@@ -13,6 +13,10 @@ def op1_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_odd.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_documents(documents(spark, sf_dir))
+
+
 def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iforest.quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_minhash_odd_sketches": op1_minhash_odd_sketches,
+        "op2_context_mixing": op2_context_mixing,
         "op3_isolation_forest": op3_isolation_forest,
         "op4_weak_supervision": op4_weak_supervision,
         "op5_string_kernel": op5_string_kernel,
