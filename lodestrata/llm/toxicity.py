@@ -191,7 +191,7 @@ class Features:
             self.dull, self.near = set(), {}
         lists = [words_of(t) for t in texts]
         found = [set(x) for x in lists]
-        new = set().union(*found) - self.dull - self.near.keys()
+        new = {w for w in set().union(*found).difference(self.dull) if w not in self.near}
         if new:
             self.learn(list(new))
         near, none = self.near, np.zeros((0, len(self.landmarks)), dtype=np.float32)
@@ -300,19 +300,19 @@ def fit(docs: DataFrame, labels: DataFrame, chosen: Column, fit_rows: int = FIT_
     machine = Machine(landmarks)
     if not landmarks:
         return machine
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("n", pa.int64()), ("sentences", pa.list_(pa.list_(pa.float32())))])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("n", pa.int64()), ("sentences", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = features(landmarks)
         for batch in (part for whole in batches for part in slices(whole)):
             per_text = tool.sentences([(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()])
-            hardest = [x[np.argsort(-x.max(axis=1), kind="stable")[:EVIDENCE]].tolist() if len(x) else [] for _, x in per_text]
+            hardest = [x[np.argsort(-x.max(axis=1), kind="stable")[:EVIDENCE]].astype(np.float32).tobytes() if len(x) else b"" for _, x in per_text]
             yield batch_of(schema, {"doc_id": batch.column(0).to_pylist(), "toxic": batch.column(2).to_pylist(), "n": [n for n, _ in per_text], "sentences": hardest})
 
-    kinds = "doc_id long, toxic int, n long, sentences array<array<float>>"
+    kinds = "doc_id long, toxic int, n long, sentences binary"
     found = rows.select("doc_id", "raw", F.col("toxic").cast("int")).mapInArrow(each, kinds).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic = found.column("toxic").to_numpy().astype(bool)
-    per_text = [(n, np.array(x, dtype=np.float32).reshape(-1, len(landmarks))) for n, x in zip(found.column("n").to_pylist(), found.column("sentences").to_pylist(), strict=True)]
+    per_text = [(n, np.frombuffer(x, dtype=np.float32).reshape(-1, len(landmarks))) for n, x in zip(found.column("n").to_pylist(), found.column("sentences").to_pylist(), strict=True)]
     vectors, marks = [], []
     for (_, x), t in zip(per_text, toxic, strict=True):
         take = x[: 1 if t else HARDEST]
