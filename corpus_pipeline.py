@@ -1,15 +1,61 @@
-"""A cleaning pipeline made of the training-data operators."""
+"""A cleaning pipeline made of the training-data operators.
+
+Toxic documents go, near copies but the first of each group go, passages that
+repeat are cut, personal data are masked, and what stays is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm import minhash_odd, packing, pii, suffix_dedup, toxicity
+from lodestrata.llm.common import documents, labels, materialize
+
+#: Near-duplicate stages on word shingles take five words and this similarity.
+SHINGLE, SIMILAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold; trained on all labelled rows."""
+    machine = toxicity.fit(docs, labels(spark, sf_dir), F.lit(True))
+    return toxicity.keep_clean(docs, machine)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    found = minhash_odd.near_duplicates(docs, SHINGLE, SIMILAR_PERCENT)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier place has."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by their kind."""
+    return pii.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
-from lodestrata.llm.common import documents, materialize
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeated_passages", cut_repeats),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
 
+#: Model scores, suffix sorting and packing have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -152,9 +152,9 @@ def codec(path: str) -> ChunkCodec:
     return _codecs[path]
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part take about ``most`` bytes."""
-    sizes = np.cumsum(_lengths(batch.column(1)))
+    sizes = np.cumsum(_lengths(batch.column(column)))
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0

@@ -3,7 +3,7 @@
 1. Every text becomes the set of its distinct hashed word shingles. Equal sets
    form a class with the smallest doc_id as its representative; only
    representatives go on.
-2. MinHash: SAMPLES minima per set. BANDS x ROWS of them make the band keys;
+2. MinHash: SAMPLES minima per set. BANDS times some of them make the band keys;
    a bucket is the set of representatives with one band key.
 3. Odd sketch: the samples are folded into a parity bitmap of SKETCH_BITS bits (sample i
    with value v toggles bit h(i, v)). For two sets the population count of the XOR is
@@ -16,8 +16,8 @@
    that no task sees more than two blocks; a pair is looked at in the first band that it shares. Links found there
    and verified complete the components.
 
-A pair at the threshold (0.85) shares no band with probability below 1e-6 and misses
-the estimate's margin with about 1e-5; farther above, both vanish. Shingles are told apart by 64-bit
+A pair at the threshold shares no band with probability below 1e-5 (3e-7 at 0.85) and
+misses the estimate's margin with about 1e-5; farther above, both vanish. Shingles are told apart by 64-bit
 hashes, classes by 128-bit sums over them.
 
 Nothing but a bitmap of fixed size (see ``marked``) reaches the driver.
@@ -44,7 +44,9 @@ from .shingles import mixed, shingle_sets
 SHINGLE = 3
 LINK_PERCENT = 85
 SAMPLES = 1024
-BANDS, ROWS = 32, 6
+BANDS = 32
+#: Most samples in a band key; lower thresholds take fewer (see ``band_rows``).
+MOST_ROWS = 6
 SKETCH_BITS = 2048
 MARGIN = 0.05
 BLOCK = 4096
@@ -74,10 +76,15 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64).reshape(len(bits), _WORDS)
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    parts = samples[:, : BANDS * ROWS].reshape(len(samples), BANDS, ROWS)
+def band_rows(jaccard: float) -> int:
+    """Samples per band, as many as keep the chance to miss a pair at the threshold below 1e-5."""
+    return max([r for r in range(1, MOST_ROWS + 1) if (1 - jaccard**r) ** BANDS < 1e-5], default=1)
+
+
+def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:
+    parts = samples[:, : BANDS * rows].reshape(len(samples), BANDS, rows)
     keys = np.broadcast_to(_PLACES[:BANDS], (len(samples), BANDS)).copy()
-    for k in range(ROWS):
+    for k in range(rows):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return keys
 
@@ -87,8 +94,9 @@ def set_hash(hashes: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in two)
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, size: int = SHINGLE, percent: int = LINK_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, set_hi, set_lo, odd, bands) of every row."""
+    rows = band_rows(percent / 100)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()),
         ("odd", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
@@ -103,7 +111,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             samples = np.array([minima(x) for x in sets]).reshape(len(sets), SAMPLES)
             hi, lo = zip(*(set_hash(x) for x in sets), strict=True)
             columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
-                       lists(odd_sketches(samples)), lists(band_keys(samples))]
+                       lists(odd_sketches(samples)), lists(band_keys(samples, rows))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return id_and_bytes(docs).mapInArrow(each, "doc_id long, n_shingles long, set_hi long, set_lo long, odd array<bigint>, bands array<bigint>")
@@ -212,7 +220,7 @@ def across_components(members: DataFrame, bits: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = LINK_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     bits = most_different_bits(percent / 100 - MARGIN)
-    rows = materialize(signatures(docs, size))
+    rows = materialize(signatures(docs, size, percent))
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(real.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id")))
     reps = materialize(real.join(classes, ["set_hi", "set_lo", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "odd", "bands").dropDuplicates(["id"]))

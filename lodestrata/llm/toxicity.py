@@ -350,6 +350,20 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = THRESH
     return id_and_bytes(docs).mapInArrow(each, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold."""
+    names = docs.columns
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = features(machine.landmarks)
+        for whole in batches:
+            for batch in slices(whole, column=names.index("text")):
+                texts = [x or "" for x in batch.column(names.index("text")).to_pylist()]
+                yield batch.filter(pa.array(machine.score(tool.sentences(texts)) < threshold))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Train on labelled rows of the other folds, score all rows."""
     remainder = id_remainder(F.col("doc_id"), folds)
