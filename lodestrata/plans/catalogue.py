@@ -1,11 +1,258 @@
-"""The query catalogue and its SQL oracles."""
+"""The query catalogue: one query per operator, each with the same query in SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import coerce as co
+from ..functions import encoding as en
+from ..functions import text as tx
+from ..operators import catindex, keytable, pages, postings
+from ..operators.ordered import Ordered
+from ..operators.project import FieldSpec, TableSpec, merge, project
+from ..sources import container
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spec(*fields: FieldSpec) -> TableSpec:
+    return TableSpec(fields)
+
+
+ORDERS = _spec(FieldSpec("o_orderkey", rename="order_id"), FieldSpec("o_custkey", rename="customer_id"), FieldSpec("o_orderstatus", skip=True), FieldSpec("o_totalprice", rename="total"))
+CUSTOMERS = _spec(FieldSpec("c_custkey", rename="id"), FieldSpec("c_name", encoder="string"), FieldSpec("c_nationkey", rename="nation"), FieldSpec("c_acctbal", skip=True), FieldSpec("c_mktsegment", encoder="string"))
+
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+PAGE_ROWS = 1000
+PHRASE = ["the", "the"]
+WANTED = [7, 3, 999_999_999, 7, 42, -1, 11]
+
+
+def to_columns_project(spark, sf_dir):
+    return project(_table(spark, sf_dir, "orders"), ORDERS)
+
+
+def filtered_push(spark, sf_dir):
+    return project(_table(spark, sf_dir, "customer"), CUSTOMERS, ["c_custkey", "c_nationkey", "c_acctbal", "no_such_field"])
+
+
+def bundle_merge(spark, sf_dir):
+    rows = project(_table(spark, sf_dir, "customer"), CUSTOMERS)
+    return merge(rows.where("nation < 10"), rows.where("nation >= 5"))
+
+
+def _cents(name: str) -> F.Column:
+    return F.round(F.col(name) * 100).cast("bigint")
+
+
+def zigzag_width(spark, sf_dir):
+    code = en.zigzag(_cents("c_acctbal"))
+    return _table(spark, sf_dir, "customer").select(
+        "c_custkey", _cents("c_acctbal").alias("cents"), code.alias("code"), en.bit_width(code).cast("bigint").alias("width"),
+        en.clamped_width(en.bit_width(code), "i16").cast("bigint").alias("clamped"), en.unzigzag(code).alias("decoded"),
+        en.decode(code, "u8").alias("low_byte"),
+    )
+
+
+def column_bit_width(spark, sf_dir):
+    kinds = {"l_orderkey": "u64", "l_partkey": "u32", "l_suppkey": "u32", "l_linenumber": "i32"}
+    widths = [en.column_width(F.col(c), k).cast("bigint").alias(f"{c}_width") for c, k in kinds.items()]
+    sizes = _table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), *widths)
+    return sizes.select(*sizes.columns, en.packed_bytes(F.col("n"), F.col("l_partkey_width")).alias("l_partkey_bytes"))
+
+
+def delta_encode(spark, sf_dir):
+    return Ordered(_table(spark, sf_dir, "events").select("event_id", "user_id"), ["event_id"]).delta("user_id").select("event_id", "delta")
+
+
+def delta_roundtrip(spark, sf_dir):
+    return Ordered(delta_encode(spark, sf_dir), ["event_id"]).running_sum("delta", "user_id").select("event_id", F.col("user_id").cast("bigint").alias("user_id"))
+
+
+def pair_struct(spark, sf_dir):
+    pairs = _table(spark, sf_dir, "lineitem").select("l_linenumber", en.pair(F.col("l_partkey"), F.col("l_suppkey")).alias("p"))
+    a, b = (en.column_width(F.col(f"p.{x}"), "u32").cast("bigint") for x in "ab")
+    return pairs.groupBy("l_linenumber").agg(F.count("*").alias("n"), a.alias("a_width"), b.alias("b_width"), F.sum("p.a").alias("a_sum"), F.sum("p.b").alias("b_sum"))
+
+
+def _paged_orders(spark, sf_dir):
+    return pages.paged(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], PAGE_ROWS)
+
+
+def page_stats(spark, sf_dir):
+    return pages.page_stats(_paged_orders(spark, sf_dir), "o_orderkey")
+
+
+def page_skip_scan(spark, sf_dir):
+    keep = (F.col("max_value") >= 3000) & (F.col("min_value") < 6000)
+    return pages.scan_pages(_paged_orders(spark, sf_dir), "o_orderkey", keep).select("row_pos", "o_orderkey")
+
+
+def pushdown_filter(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").where("l_quantity >= 45 and l_orderkey between 100 and 5000").select("l_orderkey", "l_quantity")
+
+
+def _lines(spark, sf_dir):
+    columns = list(dict.fromkeys([*LINE_ORDER, "l_returnflag", "l_linestatus"]))
+    return Ordered(_table(spark, sf_dir, "lineitem").select(*columns), LINE_ORDER).positions()
+
+
+def categorical_index(spark, sf_dir):
+    at = F.col("row_pos")
+    return _lines(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min(at).alias("first_pos"), F.max(at).alias("last_pos"), F.sum(at).alias("pos_sum"))
+
+
+def categorical_positions(spark, sf_dir):
+    rows = Ordered(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), ["s_suppkey"]).positions()
+    return catindex.positions_by_value(rows, "s_nationkey").select("s_nationkey", F.array_join("positions", ",").alias("positions"))
+
+
+def categorical_lookup_or(spark, sf_dir):
+    index = catindex.bitmaps(_lines(spark, sf_dir), "l_returnflag")
+    return catindex.cardinality(catindex.any_of(index, ["A", "R"]))
+
+
+def categorical_lookup_and(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    flags, states = catindex.bitmaps(rows, "l_returnflag"), catindex.bitmaps(rows, "l_linestatus")
+    return catindex.cardinality(catindex.all_of(catindex.any_of(flags, ["A", "N"]), catindex.any_of(states, ["F"])))
+
+
+def tokenize_stats(spark, sf_dir):
+    return postings.directory(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def positional_index(spark, sf_dir):
+    index = postings.positional_index(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    ends = F.element_at("positions", 1), F.element_at("positions", -1)
+    return index.select("doc_id", "token", F.size("positions").cast("bigint").alias("n"), ends[0].cast("bigint").alias("first_pos"), ends[1].cast("bigint").alias("last_pos"))
+
+
+def phrase_search(spark, sf_dir):
+    return postings.search_texts(_table(spark, sf_dir, "documents"), "text", PHRASE).select("doc_id")
+
+
+def phrase_search_index(spark, sf_dir):
+    index = postings.positional_index(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return postings.search_index(index, "doc_id", PHRASE)
+
+
+def ngram_windows(spark, sf_dir):
+    grams = _table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.windows(tx.tokens(F.col("text")), 3, 2)).alias("gram"))
+    return grams.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("gram").alias("n_distinct"), F.sum(F.length("gram")).alias("chars"))
+
+
+def doc_inverted_index(spark, sf_dir):
+    return postings.inverted_index(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def token_membership(spark, sf_dir):
+    index = postings.inverted_index(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    asked = postings.occurrences(_table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "token").distinct()
+    return postings.members(asked, "token", index)
+
+
+def multi_get(spark, sf_dir):
+    return keytable.multi_get(spark, _table(spark, sf_dir, "part"), "p_partkey", "p_name", WANTED)
+
+
+def multi_key_write(spark, sf_dir):
+    shared = _table(spark, sf_dir, "part").select(F.array(F.col("p_partkey"), -F.col("p_partkey")).alias("ids"), F.col("p_name").alias("payload"))
+    return keytable.share_payload(shared, "ids", "payload")
+
+
+def bucket_histogram(spark, sf_dir):
+    return keytable.bucket_histogram(_table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+def section_slice(spark, sf_dir):
+    url, lit = F.col("url"), F.lit
+    return _table(spark, sf_dir, "pages").select(
+        "page_id", container.section(url, lit(4), lit(9)).alias("inner"), container.section(url, F.length(url), lit(5)).alias("past_end"),
+        container.strict_section(url, F.length(url), F.length(url) - 3, lit(3)).alias("tail"),
+    )
+
+
+_BLANKS = ["null", "''", "' \t '", "' 7 '", "'12'", "'-5'"]
+
+
+def empty_to_default(spark, sf_dir):
+    rows = spark.sql("select * from values " + ", ".join(f"({k}, {v})" for k, v in enumerate(_BLANKS)) + " as t(id, raw)")
+    raw = F.col("raw")
+    return rows.select("id", co.empty_to_default(raw, "int").alias("as_int"), co.empty_to_default(raw, "double").alias("as_double"), co.empty_to_default(raw, "string").alias("as_text"))
+
+
+_LISTS = ["[1|2|3]", "1| 2 |x|70000|3", "[]", "", "[5|5]", "[-1|0|65535|65536]"]
+
+
+def skill_list(spark, sf_dir):
+    rows = spark.sql("select * from values " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(_LISTS)) + " as t(id, raw)")
+    numbers = co.number_list(F.col("raw"))
+    return rows.select("id", F.size(numbers).cast("bigint").alias("n"), F.array_join(numbers.cast("array<string>"), ",").alias("numbers"))
+
+
+_CATALOGUE = [
+    to_columns_project, filtered_push, bundle_merge, zigzag_width, column_bit_width, delta_encode, delta_roundtrip, pair_struct, page_stats,
+    page_skip_scan, pushdown_filter, categorical_index, categorical_positions, categorical_lookup_or, categorical_lookup_and, tokenize_stats,
+    positional_index, phrase_search, phrase_search_index, ngram_windows, doc_inverted_index, token_membership, multi_get, multi_key_write,
+    bucket_histogram, section_slice, empty_to_default, skill_list,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _CATALOGUE}
+
+
+_POS = "row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1"
+_TOKENS = "unnest(string_split(text, ' '))"
+_ORDINALS = "select doc_id, unnest(string_split(text, ' ')) as token, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from documents"
+_PAGES = f"select o_orderkey, p as row_pos, p // {PAGE_ROWS} as page_id from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as p from orders)"
+_STATS = f"select page_id, count(*) as n, min(o_orderkey) as min_value, max(o_orderkey) as max_value from ({_PAGES}) group by page_id"
+_CENTS = "select c_custkey, cast(round(c_acctbal * 100) as bigint) as cents from customer"
+_CODE = f"select *, case when cents >= 0 then cents * 2 else -cents * 2 - 1 end as code from ({_CENTS})"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    blanks = ", ".join(f"({k}, {v})" for k, v in enumerate(_BLANKS))
+    lists = ", ".join(f"({k}, '{v}')" for k, v in enumerate(_LISTS))
+    wanted = ", ".join(f"({k}, {v})" for k, v in enumerate(WANTED))
+    return {
+        "to_columns_project": "select o_orderkey as order_id, o_custkey as customer_id, o_totalprice as total from orders",
+        "filtered_push": "select c_custkey as id, c_nationkey as nation from customer",
+        "bundle_merge": "select c_custkey as id, c_name, c_nationkey as nation, c_mktsegment from customer where c_nationkey < 10"
+        " union all select c_custkey, c_name, c_nationkey, c_mktsegment from customer where c_nationkey >= 5",
+        "zigzag_width": f"select c_custkey, cents, code, length(bin(code)) as width, least(length(bin(code)), 16) as clamped, cents as decoded, code & 255 as low_byte from ({_CODE})",
+        "column_bit_width": "select n, ow as l_orderkey_width, pw as l_partkey_width, sw as l_suppkey_width, lw as l_linenumber_width, 4 + cast(ceil(n * pw / 8.0) as bigint) as l_partkey_bytes from"
+        " (select count(*) as n, max(length(bin(l_orderkey))) as ow, max(length(bin(l_partkey))) as pw, max(length(bin(l_suppkey))) as sw, max(length(bin(l_linenumber * 2))) as lw from lineitem)",
+        "delta_encode": "select event_id, user_id - coalesce(lag(user_id) over (order by event_id), 0) as delta from events",
+        "delta_roundtrip": "select event_id, user_id from events",
+        "pair_struct": "select l_linenumber, count(*) as n, max(length(bin(l_partkey))) as a_width, max(length(bin(l_suppkey))) as b_width, cast(sum(l_partkey) as bigint) as a_sum,"
+        " cast(sum(l_suppkey) as bigint) as b_sum from lineitem group by l_linenumber",
+        "page_stats": _STATS,
+        "page_skip_scan": f"select row_pos, o_orderkey from ({_PAGES}) where page_id in (select page_id from ({_STATS}) where max_value >= 3000 and min_value < 6000)",
+        "pushdown_filter": "select l_orderkey, l_quantity from lineitem where l_quantity >= 45 and l_orderkey between 100 and 5000",
+        "categorical_index": f"select l_returnflag, count(*) as n, min(p) as first_pos, max(p) as last_pos, cast(sum(p) as bigint) as pos_sum from (select l_returnflag, {_POS} as p from lineitem) group by 1",
+        "categorical_positions": "select s_nationkey, string_agg(cast(p as varchar), ',' order by p) as positions from"
+        " (select s_nationkey, row_number() over (order by s_suppkey) - 1 as p from supplier) group by 1",
+        "categorical_lookup_or": "select count(*) as n from lineitem where l_returnflag in ('A', 'R')",
+        "categorical_lookup_and": "select count(*) as n from lineitem where l_returnflag in ('A', 'N') and l_linestatus = 'F'",
+        "tokenize_stats": f"select doc_id, count(*) as n_tokens, count(distinct token) as n_distinct from (select doc_id, {_TOKENS} as token from documents) group by doc_id",
+        "positional_index": f"select doc_id, token, count(*) as n, min(pos) as first_pos, max(pos) as last_pos from ({_ORDINALS}) group by doc_id, token",
+        "phrase_search": "select doc_id from documents where contains(' ' || text || ' ', ' the the ')",
+        "phrase_search_index": "select doc_id from documents where contains(' ' || text || ' ', ' the the ')",
+        "ngram_windows": "select doc_id, count(*) as n, count(distinct gram) as n_distinct, cast(sum(length(gram)) as bigint) as chars from (select doc_id, unnest(case when len(t) < 3 then [array_to_string(t, ' ')]"
+        " else list_transform(range(1, len(t)), lambda i: array_to_string(list_slice(t, i, i + 2), ' ')) end) as gram from (select doc_id, string_split(text, ' ') as t from documents)) group by doc_id",
+        "doc_inverted_index": f"select token, doc_id, count(*) as freq from (select doc_id, {_TOKENS} as token from documents) group by token, doc_id",
+        "token_membership": f"select distinct item_id, token from (select item_id, {_TOKENS} as token from benchmark) where token in (select {_TOKENS} from documents)",
+        "multi_get": f"select ordinal, w.id, p_partkey is not null as found, p_name as payload from (values {wanted}) w(ordinal, id) left join part on p_partkey = w.id",
+        "multi_key_write": "select p_partkey as id, p_name as payload from part union all select -p_partkey, p_name from part",
+        "bucket_histogram": "select o_orderkey % ((select count(*) from orders) * 20 // 512 + 1) as bucket, count(*) as n from orders group by 1",
+        "section_slice": "select page_id, substr(url, 5, 9) as inner, '' as past_end, right(url, 3) as tail from pages",
+        "empty_to_default": f"select id, cast(coalesce(nullif(trim(raw, ' \t'), ''), '0') as int) as as_int, cast(coalesce(nullif(trim(raw, ' \t'), ''), '0') as double) as as_double,"
+        f" coalesce(trim(raw, ' \t'), '') as as_text from (values {blanks}) t(id, raw)",
+        "skill_list": "select id, len(numbers) as n, array_to_string(numbers, ',') as numbers from (select id, list_filter(list_transform(string_split(trim(raw, '[]'), '|'),"
+        f" lambda x: try_cast(trim(x) as int)), lambda v: v between 0 and 65535) as numbers from (values {lists}) t(id, raw))",
+    }
