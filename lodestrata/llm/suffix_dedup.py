@@ -45,16 +45,16 @@ from .suffix_sort import suffix_array
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # grams in a window; the anchor's places
-QUARTERS = 4
+PARTS = 8
 #: Window starts that are worked on at a time: longer texts are read in overlapping pieces.
 PIECE = 1 << 19
 #: Symbols that are sorted at a time, unless one anchor's segments have more.
-SORT_SYMBOLS = 1 << 16
+SORT_SYMBOLS = 1 << 14
 
 _BASE = 0x9E3779B97F4A7C15
-_edges = [round(k * SPAN / QUARTERS) for k in range(QUARTERS + 1)]
-#: First and last place (bytes before the anchor) of each quarter.
-PLACES = [(_edges[k], _edges[k + 1] - 1) for k in range(QUARTERS)]
+_edges = [round(k * SPAN / PARTS) for k in range(PARTS + 1)]
+#: First and last place (bytes before the anchor) of each part.
+PLACES = [(_edges[k], _edges[k + 1] - 1) for k in range(PARTS)]
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -100,18 +100,17 @@ def segments(raw: bytes) -> tuple[np.ndarray, ...] | None:
     def part(start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
-    codes = np.zeros(len(first), dtype=np.int64)
+    codes = np.zeros((len(first), PARTS), dtype=np.uint16)
     for k, (near, far) in enumerate(PLACES):
         held = (first <= anchor - near) & (stop - 1 >= anchor - far)  # has a window with such a place
         start, end = np.where(held, anchor - near, 0), np.where(held, anchor - far + LENGTH, 0)
-        code = (part(start, end) % np.uint64(31)).astype(np.int64) + 1
-        codes |= np.where(held, code, 0) << (5 * k)
+        codes[:, k] = np.where(held, part(start, end) % np.uint64(65535) + np.uint64(1), 0)
     return hashed[anchor], part(first, stop - 1 + LENGTH), first, stop - first, anchor - first, codes
 
 
-#: A segment's row: anchor hash, segment hash, document, and in one number first window, anchor's place, windows and core codes.
-#: A negative last number is a run of repeats: -1 - first window, with the number of windows in the second column.
-_ROW = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64())])
+#: A segment's row: anchor hash, segment hash, document, first window with the anchor's place and the number of windows, core codes.
+#: A negative place is a run of repeats: -1 - first window, with the number of windows in the second column.
+_ROW = pa.schema([(c, pa.int64()) for c in ("h", "seg", "doc", "pos", "near", "far")])
 
 
 def _runs(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -138,39 +137,43 @@ def segment_rows(docs: DataFrame) -> DataFrame:
             again = np.append(False, (h[order][1:] == h[order][:-1]) & (seg[order][1:] == seg[order][:-1]))
             again[order] = again.copy()
             run_doc, run_first, run_count = _runs(doc[again], first[again], count[again])
-            pos = (first << 34) | (place << 27) | (count << 20) | codes
+            pos = (first << 14) | (place << 7) | count
+            near, far = codes[~again].view(np.int64).T
+            none = np.zeros(len(run_doc), dtype=np.int64)
             yield batch_of(_ROW, {
                 "h": np.concatenate([h[~again].view(np.int64), mixed(mixed(run_doc.view(np.uint64)) + run_first.astype(np.uint64)).view(np.int64)]),
                 "seg": np.concatenate([seg[~again].view(np.int64), run_count]),
                 "doc": np.concatenate([doc[~again], run_doc]),
                 "pos": np.concatenate([pos[~again], -1 - run_first]),
+                "near": np.concatenate([near, none]),
+                "far": np.concatenate([far, none]),
             })
 
     texts = id_and_bytes(docs).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return texts.mapInArrow(each, "h long, seg long, doc long, pos long")
+    return texts.mapInArrow(each, ", ".join(f"{c} long" for c in _ROW.names))
 
 
-def _settle(h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> dict:
+def _settle(h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.ndarray, near: np.ndarray, far: np.ndarray) -> dict:
     """Rows of whole anchors, sorted: repeats of whole segments, and segments to be sorted by bytes."""
     run = pos < 0
     out = [(np.zeros(run.sum(), dtype=np.int64), doc[run], -1 - pos[run], seg[run], h[run])]
-    h, seg, doc, pos = h[~run], seg[~run], doc[~run], pos[~run]
+    h, seg, doc, pos, codes = h[~run], seg[~run], doc[~run], pos[~run], np.column_stack([near[~run], far[~run]])
     if len(h):
         new_h = np.append(True, h[1:] != h[:-1])
         new = new_h | np.append(True, seg[1:] != seg[:-1])
-        out.append((np.zeros((~new).sum(), dtype=np.int64), doc[~new], pos[~new] >> 34, (pos[~new] >> 20) & 127, h[~new]))
+        out.append((np.zeros((~new).sum(), dtype=np.int64), doc[~new], pos[~new] >> 14, pos[~new] & 127, h[~new]))
         group = (np.cumsum(new_h) - 1)[new]
-        h, doc, pos = h[new], doc[new], pos[new]
-        quarters = np.zeros(len(h), dtype=np.int64)
-        if len(group) > group[-1] + 1:
-            for k in range(QUARTERS):
-                code = (pos >> (5 * k)) & 31
-                core = group * 32 + code
-                quarters |= ((np.bincount(core)[core] > 1) & (code > 0)).astype(np.int64) << k
-        some = quarters > 0
-        first, place, count = pos[some] >> 34, (pos[some] >> 27) & 127, (pos[some] >> 20) & 127
-        # kind: 1 and above it the quarters, the anchor's place and the number of windows
-        out.append((1 | (quarters[some] << 1) | (place << 8) | (count << 16), doc[some], first, count, h[some]))
+        several = np.bincount(group)[group] > 1
+        group, h, doc, pos = group[several], h[new][several], doc[new][several], pos[new][several]
+        codes = np.ascontiguousarray(codes[new][several]).view(np.uint16).reshape(-1, PARTS).astype(np.int64)
+        parts = np.zeros(len(h), dtype=np.int64)
+        for k in range(PARTS):
+            _, which, n = np.unique(group << 16 | codes[:, k], return_inverse=True, return_counts=True)
+            parts |= ((n[which] > 1) & (codes[:, k] > 0)).astype(np.int64) << k
+        some = parts > 0
+        first, place, count = pos[some] >> 14, (pos[some] >> 7) & 127, pos[some] & 127
+        # kind: 1 and above it the parts, the anchor's place and the number of windows
+        out.append((1 | (parts[some] << 1) | (place << 9) | (count << 16), doc[some], first, count, h[some]))
     return dict(zip(("kind", "doc", "first", "count", "h"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
 
 
@@ -183,7 +186,7 @@ def settled(rows: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            columns = tuple(batch.column(k).to_numpy() for k in range(4))
+            columns = tuple(batch.column(k).to_numpy() for k in range(len(_ROW)))
             if not len(columns[0]):
                 continue
             change = np.flatnonzero(columns[0][1:] != columns[0][:-1])
@@ -215,8 +218,8 @@ def strings(docs: DataFrame, segments_: DataFrame) -> DataFrame:
             for k, (key, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 for x in lists[k].as_py():
                     kind, first = x["kind"], x["first"]
-                    quarters, place, count = (kind >> 1) & 15, (kind >> 8) & 127, kind >> 16
-                    ends = [PLACES[q] for q in range(QUARTERS) if quarters >> q & 1]
+                    parts, place, count = (kind >> 1) & 255, (kind >> 9) & 127, kind >> 16
+                    ends = [PLACES[q] for q in range(PARTS) if parts >> q & 1]
                     start = first + max(0, place - ends[-1][1])
                     stop = first + min(count, place - ends[0][0] + 1)
                     values = (x["h"], key, start, place - (start - first), stop - start, raw[start : stop - 1 + LENGTH])
@@ -239,9 +242,9 @@ def repeated_windows(rows: list[tuple[int, int, int, int, int, bytes]]) -> tuple
     pieces, starts, docs, places, at, names = [], [], [], [], 0, {}
     for h, doc, first, place, windows, raw in rows:
         name = names.setdefault(h, len(names)) + 257
-        data = np.frombuffer(raw, dtype=np.uint8).astype(np.int64) + 1
+        data = np.frombuffer(raw, dtype=np.uint8).astype(np.int32) + 1
         # the anchor is at ``place`` of the string, whole
-        pieces += [data[:place], np.array([name]), data[place + GRAM :], np.zeros(1, dtype=np.int64)]
+        pieces += [data[:place], np.array([name], dtype=np.int32), data[place + GRAM :], np.zeros(1, dtype=np.int32)]
         starts.append(np.arange(windows) + at)
         docs.append(np.full(windows, doc))
         places.append(np.arange(windows) + first)
@@ -252,7 +255,7 @@ def repeated_windows(rows: list[tuple[int, int, int, int, int, bytes]]) -> tuple
     is_start[where], doc_of[where], place_of[where] = True, np.concatenate(docs), np.concatenate(places)
     order = suffix_array(np.append(symbols + 1, 0))[1:]
     order = order[is_start[order]]
-    view = np.lib.stride_tricks.sliding_window_view(np.append(symbols, np.zeros(SPAN, dtype=np.int64)), SPAN)
+    view = np.lib.stride_tricks.sliding_window_view(np.append(symbols, np.zeros(SPAN, dtype=np.int32)), SPAN)
     fresh = np.append(True, (view[order[1:]] != view[order[:-1]]).any(axis=1))
     group = np.cumsum(fresh) - 1
     doc, place = doc_of[order], place_of[order]

@@ -42,7 +42,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
                 p = smaller[p]
             smaller[members[last]] = p
             if p >= 0 and size[group[p]] > 1:
-                _raise([p], group, place, size, members)
+                _raise_one(p, group, place, size, members)
         else:
             mine = sorted(members[start : last + 1])
             hit: dict[int, int] = {}
@@ -56,13 +56,25 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
                 smaller[i] = p
                 if p >= 0:
                     hit[p] = hit.get(p, 0) + 1
-            if hit:
-                by: dict[tuple[int, int], list[int]] = {}
+            if len(hit) == 1:
+                p = next(iter(hit))
+                if size[group[p]] > 1:
+                    _raise_one(p, group, place, size, members)
+            elif hit:
+                by: dict[int, list[int]] = {}
                 for p, times in hit.items():
-                    by.setdefault((times, group[p]), []).append(p)
-                for key in sorted(by, reverse=True) if len(by) > 1 else by:
-                    if size[key[1]] > len(by[key]):
-                        _raise(by[key], group, place, size, members)
+                    key = times * n + group[p]  # hit more often first, then by group
+                    if key in by:
+                        by[key].append(p)
+                    else:
+                        by[key] = [p]
+                for key in sorted(by, reverse=True):
+                    some = by[key]
+                    if size[key % n] > len(some):
+                        if len(some) == 1:
+                            _raise_one(some[0], group, place, size, members)
+                        else:
+                            _raise(some, group, place, size, members)
         last = start - 1
 
     out = [-1] * n
@@ -85,6 +97,18 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def _raise_one(j: int, group: list[int], place: list[int], size: list[int], members: list[int]) -> None:
+    """Move one suffix to the end of its group, as a group of its own."""
+    old = group[j]
+    end = old + size[old] - 1
+    at, other = place[j], members[end]
+    members[at], members[end] = other, j
+    place[other], place[j] = at, end
+    size[old] -= 1
+    size[end] = 1
+    group[j] = end
+
+
 def _raise(some: list[int], group: list[int], place: list[int], size: list[int], members: list[int]) -> None:
     """Move ``some`` of one group to its end, as a group of their own."""
     old = group[some[0]]
