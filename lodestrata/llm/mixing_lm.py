@@ -42,9 +42,9 @@ from .shingles import mixed, word_hashes
 
 ORDER = 5
 MIN_SHARE = 2.0**-21
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 300
 #: Slots of each order's table, as powers of two.
-SLOTS = (8, 16, 19, 21, 22, 23)
+SLOTS = (8, 16, 20, 22, 23, 23)
 #: Logits are stored in steps of 1 / SCALE.
 SCALE = 12.0
 MAP_CONTEXTS, MAP_STEPS = 1024, 24
@@ -87,7 +87,7 @@ def count_all(train: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], []]
         rows = 0
-        for batch in (part for whole in batches for part in slices(whole, 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             rows += len(texts)
             for k, keys in enumerate((word_hashes(texts)[0], sequences(texts)[0])):
@@ -139,14 +139,14 @@ class Mixer:
         """From byte sequences and how often each occurs."""
         byte = (keys & np.uint64(255)).astype(np.int64)
         self.length, self.nodes, self.bits = huffman(np.bincount(byte, weights=counts, minlength=256))
-        self.zeros = [np.zeros(1 << s) for s in SLOTS]
-        self.ones = [np.zeros(1 << s) for s in SLOTS]
+        self.zeros = [np.zeros(1 << s, dtype=np.float32) for s in SLOTS]
+        self.ones = [np.zeros(1 << s, dtype=np.float32) for s in SLOTS]
         contexts = self.contexts(keys)
         for at, node, bit in self.steps(byte):
             for k in range(ORDER + 1):
                 slot = self.slots(k, contexts[k][at], node)
                 for bits, table in ((0, self.zeros), (1, self.ones)):
-                    table[k] += np.bincount(slot[bit == bits], weights=counts[at][bit == bits], minlength=1 << SLOTS[k])
+                    np.add.at(table[k], slot[bit == bits], counts[at[bit == bits]])
         gates = 2 * (ORDER + 1)
         self.weights = np.full((gates, ORDER + 2), 0.0)
         for g in range(gates):
@@ -196,28 +196,27 @@ class Mixer:
 
     def learn(self, keys: np.ndarray, rate: float = 0.02, map_rate: float = 0.02, batch: int = 512) -> None:
         """Online: each sequence's bits in turn, without their own occurrence in the counts."""
-        byte, contexts = (keys & np.uint64(255)).astype(np.int64), self.contexts(keys)
-        parts = []
-        for at, node, bit in self.steps(byte):
-            found = []
-            for table, own in ((self.zeros, bit == 0), (self.ones, bit == 1)):
-                found.append([np.maximum(0.0, table[k][self.slots(k, contexts[k][at], node)] - own) for k in range(ORDER + 1)])
-            x, gate = self.inputs(*found)
-            parts.append((at, x, gate, bit, self.map_context(contexts[1][at], node)))
-        if not parts:
-            return
-        at, x, gate, bit, place = (np.concatenate(v) for v in zip(*parts, strict=True))
-        order = np.argsort(at, kind="stable")
-        x, gate, bit, place = x[order], gate[order], bit[order], place[order]
-        for k in range(0, len(x), batch):
-            s = slice(k, k + batch)
-            total = np.clip((x[s] * self.weights[gate[s]]).sum(axis=1), -11.9, 11.9)
-            miss = bit[s] - _squash(total)
-            np.add.at(self.weights, gate[s], rate * miss[:, None] * x[s])
-            low, part = self.map_place(total)
-            for shift, weight in ((0, 1 - part), (1, part)):
-                cell = (place[s], low + shift)
-                np.add.at(self.map, cell, map_rate * weight * (bit[s] - self.map[cell]))
+        for start in range(0, len(keys), 4096):
+            some = keys[start : start + 4096]
+            byte, contexts, parts = (some & np.uint64(255)).astype(np.int64), self.contexts(some), []
+            for at, node, bit in self.steps(byte):
+                found = []
+                for table, own in ((self.zeros, bit == 0), (self.ones, bit == 1)):
+                    found.append([np.maximum(0.0, table[k][self.slots(k, contexts[k][at], node)] - own) for k in range(ORDER + 1)])
+                x, gate = self.inputs(*found)
+                parts.append((at, x, gate, bit, self.map_context(contexts[1][at], node)))
+            at, x, gate, bit, place = (np.concatenate(v) for v in zip(*parts, strict=True))
+            order = np.argsort(at, kind="stable")
+            x, gate, bit, place = x[order], gate[order], bit[order], place[order]
+            for k in range(0, len(x), batch):
+                s = slice(k, k + batch)
+                total = np.clip((x[s] * self.weights[gate[s]]).sum(axis=1), -11.9, 11.9)
+                miss = bit[s] - _squash(total)
+                np.add.at(self.weights, gate[s], rate * miss[:, None] * x[s])
+                low, part = self.map_place(total)
+                for shift, weight in ((0, 1 - part), (1, part)):
+                    cell = (place[s], low + shift)
+                    np.add.at(self.map, cell, map_rate * weight * (bit[s] - self.map[cell]))
         self.map = np.clip(self.map, 1e-6, 1 - 1e-6)
 
     @staticmethod
@@ -234,10 +233,14 @@ class Mixer:
         """Counts become logits in bytes, which is all that scoring needs."""
         self.tables = []
         for zeros, ones in zip(self.zeros, self.ones, strict=True):
-            sure = (np.minimum(zeros, ones) <= 0) & (zeros + ones > 0)
-            table = self.stored(zeros, ones).astype(np.int64)
-            # the lowest bit tells whether one outcome only was seen
-            self.tables.append(np.where(zeros + ones > 0, (np.clip(table, -127, 127) << 1) | sure, -32768).astype(np.int16))
+            table = np.full(len(zeros), -32768, dtype=np.int16)
+            for k in range(0, len(zeros), 1 << 20):
+                some = slice(k, k + (1 << 20))
+                seen = np.flatnonzero(zeros[some] + ones[some])
+                a, b = zeros[some][seen], ones[some][seen]
+                # the lowest bit tells whether one outcome only was seen
+                table[some][seen] = (self.stored(a, b).astype(np.int16) << 1) | (np.minimum(a, b) <= 0)
+            self.tables.append(table)
         self.zeros = self.ones = []
 
     def bits_of(self, keys: np.ndarray) -> np.ndarray:
@@ -283,15 +286,14 @@ def train(docs: DataFrame, chosen: Column, sample_rows: int = SAMPLE_ROWS) -> tu
     least = F.when(F.col("kind") == 0, words * MIN_SHARE).otherwise(bytes_ * MIN_SHARE)
     often = counts.where("kind < 2").where(F.col("n") >= least).toArrow().sort_by([("kind", "ascending"), ("key", "ascending")])
     kind, key, n = (often.column(c).to_numpy() for c in ("kind", "key", "n"))
-    mixer = Mixer(key[kind == 1].view(np.uint64), n[kind == 1].astype(float))
+    mixer = Mixer(key[kind == 1].view(np.uint64), n[kind == 1].astype(np.float32))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     schema = pa.schema([("order", pa.int64()), ("key", pa.int64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # each distinct sequence of a document once: a bounded share of very long ones
-                keys = np.unique(sequences([raw or b""])[0])
+                keys = sequences([raw or b""])[0]
                 yield batch_of(schema, {"order": np.full(len(keys), doc_id), "key": keys.view(np.int64)})
 
     found = sample.mapInArrow(each, "order long, key long").toArrow().sort_by([("order", "ascending"), ("key", "ascending")])
@@ -317,7 +319,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = sent.value
         row = TaskContext.get().partitionId() << 33
         empty = m.log10(np.array([m.ends]))[0]
-        for batch in (part for whole in batches for part in slices(whole, 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             keys, lengths = sequences(texts)
             distinct, where = np.unique(keys, return_inverse=True)
