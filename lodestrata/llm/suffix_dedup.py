@@ -122,9 +122,15 @@ def _runs(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.nda
     return doc[at], first[at], np.add.reduceat(count, at) if len(at) else count
 
 
+def _later(new: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of rows in groups that begin where ``new`` is: those at another place than their group's first one."""
+    leader = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (doc != doc[leader]) | (first != first[leader])
+
+
 def segment_rows(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
             found = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for at in range(0, max(0, len(raw or b"") - LENGTH + 1), PIECE):
@@ -134,9 +140,11 @@ def segment_rows(docs: DataFrame) -> DataFrame:
                 continue
             h, seg, doc, first, count, place, codes = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((first, doc, seg, h))
-            again = np.append(False, (h[order][1:] == h[order][:-1]) & (seg[order][1:] == seg[order][:-1]))
-            again[order] = again.copy()
-            run_doc, run_first, run_count = _runs(doc[again], first[again], count[again])
+            same = (h[order][1:] == h[order][:-1]) & (seg[order][1:] == seg[order][:-1])
+            again, later = np.empty(len(h), dtype=bool), np.empty(len(h), dtype=bool)
+            again[order] = np.append(False, same)
+            later[order] = _later(~np.append(False, same), doc[order], first[order])
+            run_doc, run_first, run_count = _runs(doc[later], first[later], count[later])
             pos = (first << 14) | (place << 7) | count
             near, far = codes[~again].view(np.int64).T
             none = np.zeros(len(run_doc), dtype=np.int64)
@@ -161,7 +169,8 @@ def _settle(h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.ndarray, ne
     if len(h):
         new_h = np.append(True, h[1:] != h[:-1])
         new = new_h | np.append(True, seg[1:] != seg[:-1])
-        out.append((np.zeros((~new).sum(), dtype=np.int64), doc[~new], pos[~new] >> 14, pos[~new] & 127, h[~new]))
+        later = _later(new, doc, pos >> 14)
+        out.append((np.zeros(later.sum(), dtype=np.int64), doc[later], pos[later] >> 14, pos[later] & 127, h[later]))
         group = (np.cumsum(new_h) - 1)[new]
         several = np.bincount(group)[group] > 1
         group, h, doc, pos = group[several], h[new][several], doc[new][several], pos[new][several]
@@ -212,7 +221,7 @@ def strings(docs: DataFrame, segments_: DataFrame) -> DataFrame:
     wanted = segments_.groupBy("doc").agg(F.collect_list(F.struct("first", "kind", "h")).alias("of"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
             out: dict[str, list] = {f.name: [] for f in _STRING}
             lists = batch.column(2)
             for k, (key, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -260,8 +269,7 @@ def repeated_windows(rows: list[tuple[int, int, int, int, int, bytes]]) -> tuple
     group = np.cumsum(fresh) - 1
     doc, place = doc_of[order], place_of[order]
     by = np.lexsort((place, doc, group))
-    later = np.append(False, group[by][1:] == group[by][:-1])
-    again = by[later]
+    again = by[_later(np.append(True, group[by][1:] != group[by][:-1]), doc[by], place[by])]
     return _runs(doc[again], place[again], np.ones(len(again), dtype=np.int64))
 
 
@@ -318,7 +326,7 @@ def cut(docs: DataFrame, make: Callable[[bytes, np.ndarray, int], tuple], schema
     found = materialize(repeats(docs))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
             out: dict[str, list] = {f.name: [] for f in schema}
             runs = batch.column(2)
             for k, (key, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
