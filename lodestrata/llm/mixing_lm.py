@@ -87,7 +87,7 @@ def count_all(train: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], []]
         rows = 0
-        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             rows += len(texts)
             for k, keys in enumerate((word_hashes(texts)[0], sequences(texts)[0])):
@@ -243,8 +243,10 @@ class Mixer:
             self.tables.append(table)
         self.zeros = self.ones = []
 
-    def bits_of(self, keys: np.ndarray) -> np.ndarray:
+    def bits_of(self, keys: np.ndarray, most: int = 1 << 16) -> np.ndarray:
         """Bits that each sequence's last byte takes."""
+        if len(keys) > most:
+            return np.concatenate([self.bits_of(keys[k : k + most]) for k in range(0, len(keys), most)])
         out = np.zeros(len(keys))
         byte, contexts = (keys & np.uint64(255)).astype(np.int64), self.contexts(keys)
         for at, node, bit in self.steps(byte):
@@ -319,7 +321,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = sent.value
         row = TaskContext.get().partitionId() << 33
         empty = m.log10(np.array([m.ends]))[0]
-        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             keys, lengths = sequences(texts)
             distinct, where = np.unique(keys, return_inverse=True)
