@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, id_and_bytes
+from .common import batch_of, id_and_bytes, resident
 from .units import UnitCache
 
 CACHE_BYTES = 64 << 20
@@ -142,14 +142,9 @@ def token_bytes(spec: dict) -> list[bytes]:
     return out
 
 
-_codecs: dict[str, ChunkCodec] = {}
-
-
 def codec(path: str) -> ChunkCodec:
-    """One codec per worker process and file; its caches serve all tasks of the worker."""
-    if path not in _codecs:
-        _codecs[path] = ChunkCodec(path)
-    return _codecs[path]
+    """One codec per worker process; its caches serve all tasks of the worker."""
+    return resident(("chunks", path), lambda: ChunkCodec(path))
 
 
 def slices(batch: pa.RecordBatch, most: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:

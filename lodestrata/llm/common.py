@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,29 @@ BLANKS = b" \t\n\x0b\x0c\r"
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of a batch that Spark hands to Python; texts are long, and the default is 64 MB.
+ARROW_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of its input on both sides of the Arrow channel."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+_resident: tuple[object, object] = (None, None)
+
+
+def resident(key: object = None, make: Callable[[], object] | None = None) -> object:
+    """A tool that a worker process keeps for its next tasks; one at a time, so
+    that the caches of one operator don't outlive it. Without a key: none.
+    """
+    global _resident
+    if _resident[0] != key:
+        _resident = (None, None)
+        _resident = (key, make() if make else None)
+    return _resident[1]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -57,6 +80,7 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read, not a re-computation.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/lodestrata/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -81,6 +105,7 @@ atexit.register(release)
 
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text as UTF-8 bytes), nothing else: other columns can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
 
 
@@ -88,8 +113,8 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 FILTER_BITS = 1 << 24
 
 
-def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, raw) of at least all rows whose id is in ``ids`` (id).
+def marked(docs: DataFrame, ids: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, kinds: str = "doc_id long, raw binary") -> DataFrame:
+    """(doc_id, raw) of at least all rows whose id is in ``ids`` (id), or what ``each`` makes of them.
 
     A bitmap of fixed size goes to the executors, so that a later shuffle leaves
     out most other texts; with very many ids it lets all pass, which only costs time.
@@ -102,14 +127,18 @@ def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
         bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
         for batch in batches:
             h = batch.column(2).to_numpy() - 1
-            yield batch.select(["doc_id", "raw"]).filter(pa.array((wanted[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+            yield batch.select(["doc_id", "raw"]).filter(pa.array((bitmap[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
+        return each(wanted(batches)) if each else wanted(batches)
 
     texts = id_and_bytes(docs).where("doc_id is not null")
-    return texts.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", place(F.col("doc_id"))).mapInArrow(each, "doc_id long, raw binary")
+    return texts.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", place(F.col("doc_id"))).mapInArrow(made, kinds)
 
 
 def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

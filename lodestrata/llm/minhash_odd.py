@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, marked, materialize
+from .common import batch_of, id_and_bytes, marked, materialize, resident
 from .shingles import mixed, shingle_sets
 
 SHINGLE = 3
@@ -106,6 +106,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, percent: int = LINK_PERCENT
         return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], pa.array(values.view(np.int64).ravel()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             sets = shingle_sets([x or b"" for x in batch.column(1).to_pylist()], size)
             samples = np.array([minima(x) for x in sets]).reshape(len(sets), SAMPLES)
@@ -126,7 +127,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame
             sets = shingle_sets([x or b"" for x in part.column(1).to_pylist()], size)
             yield batch_of(schema, {"id": part.column(0).to_pylist(), "hashes": [x.tobytes() for x in sets]})
 
-    return marked(docs, ids).mapInArrow(each, "id long, hashes binary")
+    return marked(docs, ids, each, "id long, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, id_remainder, materialize
+from .common import batch_of, id_and_bytes, id_remainder, materialize, resident
 from .shingles import mixed, word_hashes
 
 ORDER = 5
@@ -85,6 +85,7 @@ def count_all(train: DataFrame) -> DataFrame:
         return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         held: list[list] = [[], []]
         rows = 0
         for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
@@ -289,7 +290,9 @@ def train(docs: DataFrame, chosen: Column, sample_rows: int = SAMPLE_ROWS) -> tu
     often = counts.where("kind < 2").where(F.col("n") >= least).toArrow().sort_by([("kind", "ascending"), ("key", "ascending")])
     kind, key, n = (often.column(c).to_numpy() for c in ("kind", "key", "n"))
     mixer = Mixer(key[kind == 1].view(np.uint64), n[kind == 1].astype(np.float32))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # ids first: only the chosen texts are moved
+    ids = rows.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    sample = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).drop("id")
     schema = pa.schema([("order", pa.int64()), ("key", pa.int64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, materialize
+from .common import batch_of, id_and_bytes, materialize, resident
 from .units import UnitCache
 
 CAPACITY = 4096
@@ -67,8 +67,6 @@ class WordCodec(UnitCache):
         return [b"".join(map(get, words)) for words in split]
 
 
-_codecs: dict[str, WordCodec] = {}
-
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -76,9 +74,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut to ``capacity``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _codecs:
-            _codecs[tokenizer_path] = WordCodec(tokenizer_path)
-        tool, end, width = _codecs[tokenizer_path], np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
+        tool = resident(("words", tokenizer_path), lambda: WordCodec(tokenizer_path))
+        end, width = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in (part for whole in batches for part in slices(whole)):
             out: dict[str, list] = {f.name: [] for f in _PIECES}
             for key, ids in zip(batch.column(0).to_pylist(), tool.encode([x or b"" for x in batch.column(1).to_pylist()]), strict=True):
