@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, id_remainder
+from .common import batch_of, id_and_bytes, id_remainder, resident
 
 ORDER = 3
 DECAY = 0.7
@@ -59,10 +59,12 @@ _EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 _SENTENCE = re.compile(r"[.!?\n]+\s")
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words without outer punctuation, and spelt-out runs of single characters joined."""
-    found = [w.strip(_EDGES) for w in text.lower().split()]
-    return found + [re.sub(r"[\W_]", "", m) for m in _SPACED.findall(text.lower())]
+def words_of(text: str) -> set[str]:
+    """Distinct lower-case words without outer punctuation, and spelt-out runs of single characters joined."""
+    low = text.lower()
+    found = {w.strip(_EDGES) for w in set(low.split())}
+    found.update(re.sub(r"[\W_]", "", m) for m in _SPACED.findall(low))
+    return found
 
 
 def codes(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,25 +191,23 @@ class Features:
         """Per text, its number of words and one row per sentence that has a similar word."""
         if len(self.dull) > CACHE_WORDS:
             self.dull, self.near = set(), {}
-        lists = [words_of(t) for t in texts]
-        found = [set(x) for x in lists]
+        found = [words_of(t) for t in texts]
         new = {w for w in set().union(*found).difference(self.dull) if w not in self.near}
         if new:
             self.learn(list(new))
         near, none = self.near, np.zeros((0, len(self.landmarks)), dtype=np.float32)
         out = []
-        for text, words, n in zip(texts, found, map(len, lists), strict=True):
-            if near.keys().isdisjoint(words):
+        for text, words in zip(texts, found, strict=True):
+            n, similar = len(text.split()), [w for w in words if w in near]
+            if not similar:
                 out.append((n, none))
                 continue
             rows = []
-            for sentence in _SENTENCE.split(text):
-                hits = [near[w] for w in set(words_of(sentence)) if w in near]
-                if hits:
+            for sentence in _SENTENCE.split(text.lower()):
+                if any(w in sentence for w in similar) and (hits := [near[w] for w in words_of(sentence) if w in near]):
                     rows.append(np.max(hits, axis=0))
-            if whole := [near[w] for w in words if w in near]:  # spelt-out words can run over sentence marks
-                rows = rows or [np.max(whole, axis=0)]
-            out.append((n, np.array(rows)))
+            # spelt-out words can run over sentence marks
+            out.append((n, np.array(rows or [np.max([near[w] for w in similar], axis=0)])))
         return out
 
 
@@ -280,7 +280,7 @@ def choose_landmarks(rows: DataFrame, most: int = LANDMARKS) -> list[str]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
             for raw, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in words_of((raw or b"").decode("utf-8", "replace")) if ORDER <= len(w) <= WIDTH}
+                words = [w for w in words_of((raw or b"").decode("utf-8", "replace")) if ORDER <= len(w) <= WIDTH]
                 alike = min((zlib.crc32(w.encode()) for w in words), default=0)
                 out["word"] += words
                 out["toxic"] += [toxic] * len(words)
@@ -323,16 +323,9 @@ def fit(docs: DataFrame, labels: DataFrame, chosen: Column, fit_rows: int = FIT_
     return machine
 
 
-_features: dict[tuple[str, ...], Features] = {}
-
-
 def features(landmarks: list[str]) -> Features:
-    """One per worker process; another set of landmarks replaces it."""
-    key = tuple(landmarks)
-    if key not in _features:
-        _features.clear()
-        _features[key] = Features(landmarks)
-    return _features[key]
+    """One per worker process and set of landmarks."""
+    return resident(("landmarks", *landmarks), lambda: Features(landmarks))
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
