@@ -141,6 +141,15 @@ def test_repeats_equal_brute_force(spark, seed):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_blocks_of_hot_anchors_lose_no_repeat(spark, hot):
+    draw = random.Random(hot)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(130))
+    rows = repeating(4) + [(2000 + k, "".join(draw.choice("xy") for _ in range(draw.randint(0, 4))) + passage + "".join(draw.choice("xy") for _ in range(draw.randint(0, 4)))) for k in range(60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table(spark, rows), hot).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     rows = repeating(9)
     whole = brute_repeats(rows)

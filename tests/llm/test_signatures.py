@@ -177,5 +177,5 @@ def test_packing_needs_hardly_more_than_the_least(spark):
 def test_sum_of_squares_choice():
     # two open sequences with 3 free, one with 5: a piece of 3 closes one of the two
     sequence, offset = packing.sum_of_squares(np.array([7, 7, 5, 3]), 10)
-    assert sequence.tolist() == [0, 1, 2, 0]
+    assert sequence.tolist()[:3] == [0, 1, 2] and sequence[3] in (0, 1)
     assert offset.tolist() == [0, 0, 0, 7]
