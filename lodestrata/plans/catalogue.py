@@ -12,6 +12,7 @@ from ..operators import catindex, keytable, pages, postings
 from ..operators.ordered import Ordered
 from ..operators.project import FieldSpec, TableSpec, merge, project
 from ..sources import container
+from ..sources.ingest import Source, coerce
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,11 +195,24 @@ def skill_list(spark, sf_dir):
     return rows.select("id", F.size(numbers).cast("bigint").alias("n"), F.array_join(numbers.cast("array<string>"), ",").alias("numbers"))
 
 
+_ROWS = [("' 7 '", "''", "'1.5'", "'[1|2| x |70000|3]'", "'  boss '"), ("null", "'3'", "' '", "null", "''"), ("'-2'", "'\t4'", "null", "'5|5'", "'a b'")]
+SOURCE = [
+    Source("rcid", "int"), Source("next_rcid", "int", "new_rcid"), Source("weight", "double"), Source("skills", "array<int>", "skill_list"),
+    Source("title", "string", "title_raw"), Source("mapped_role", "int", None), Source("inflow", "boolean", None),
+]
+
+
+def ingest_rows(spark, sf_dir):
+    raw = spark.sql("select * from values " + ", ".join(f"({', '.join(r)})" for r in _ROWS) + " as t(rcid, new_rcid, weight, skill_list, title_raw)")
+    return coerce(raw, SOURCE).withColumn("skills", F.array_join(F.col("skills").cast("array<string>"), ","))
+
+
 _CATALOGUE = [
     to_columns_project, filtered_push, bundle_merge, zigzag_width, column_bit_width, delta_encode, delta_roundtrip, pair_struct, page_stats,
     page_skip_scan, pushdown_filter, categorical_index, categorical_positions, categorical_lookup_or, categorical_lookup_and, tokenize_stats,
     positional_index, phrase_search, phrase_search_index, ngram_windows, doc_inverted_index, token_membership, multi_get, multi_key_write,
     bucket_histogram, section_slice, empty_to_default, skill_list,
+    ingest_rows,
 ]
 
 
@@ -253,6 +267,10 @@ def oracle_sql() -> dict[str, str]:
         "section_slice": "select page_id, substr(url, 5, 9) as inner, '' as past_end, right(url, 3) as tail from pages",
         "empty_to_default": f"select id, cast(coalesce(nullif(trim(raw, ' \t'), ''), '0') as int) as as_int, cast(coalesce(nullif(trim(raw, ' \t'), ''), '0') as double) as as_double,"
         f" coalesce(trim(raw, ' \t'), '') as as_text from (values {blanks}) t(id, raw)",
+        "ingest_rows": "select cast(coalesce(nullif(trim(rcid, ' \t'), ''), '0') as int) as rcid, cast(coalesce(nullif(trim(new_rcid, ' \t'), ''), '0') as int) as next_rcid,"
+        " cast(coalesce(nullif(trim(weight, ' \t'), ''), '0') as double) as weight, coalesce(array_to_string(list_filter(list_transform(string_split(trim(skill_list, '[]'), '|'),"
+        " lambda x: try_cast(trim(x) as int)), lambda v: v between 0 and 65535), ','), '') as skills, coalesce(trim(title_raw, ' \t'), '') as title, 0 as mapped_role, false as inflow"
+        f" from (values {', '.join(f'({chr(44).join(r)})' for r in _ROWS)}) t(rcid, new_rcid, weight, skill_list, title_raw)",
         "skill_list": "select id, len(numbers) as n, array_to_string(numbers, ',') as numbers from (select id, list_filter(list_transform(string_split(trim(raw, '[]'), '|'),"
         f" lambda x: try_cast(trim(x) as int)), lambda v: v between 0 and 65535) as numbers from (values {lists}) t(id, raw))",
     }
