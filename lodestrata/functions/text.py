@@ -16,7 +16,7 @@ def tokens(text: Column) -> Column:
     return F.split(text, " ", -1)
 
 
-def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once: inside a lambda an expression would be computed per element."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -35,7 +35,7 @@ def windows(parts: Column, size: int, last: int) -> Column:
         many = F.when(n - last + 1 < 1, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(t, i, size), " ")))
         return F.when(n == 0, F.array().cast("array<string>")).when((n == 1) | (n < size), F.array(F.array_join(t, " "))).otherwise(many)
 
-    return _held(parts, of)
+    return bound_once(parts, of)
 
 
 def has_phrase(parts: Column, phrase: list[str]) -> Column:
@@ -55,4 +55,4 @@ def has_phrase(parts: Column, phrase: list[str]) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1)))
         return found & F.exists(starts, lambda i: F.slice(t, i, k) == wanted)
 
-    return _held(parts, of)
+    return bound_once(parts, of)
