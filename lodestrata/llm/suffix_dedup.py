@@ -15,7 +15,9 @@ such a string.
    that share a core (what all windows of a quarter of the anchor's places have in
    common) are fetched as bytes, the anchor written as one symbol, and sorted
    by the linear suffix sorter; equal windows are then neighbours in the suffix array,
-   and all but the first are repeats.
+   and all but the first are repeats. An anchor with more than HOT such segments (the edge of
+   a passage in very many documents) is dealt into blocks of about that many; what each
+   block's sort leaves, its distinct windows, meets by the window's hash, added up before the exchange.
 4. The repeated windows of a document are joined into maximal runs and cut out.
 
 Only a bitmap of fixed size is sent to the executors; nothing else but rows by hash and by
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, marked, materialize
+from .common import batch_of, id_and_bytes, marked, materialize, resident
 from .shingles import mixed
 from .suffix_sort import suffix_array
 
@@ -48,6 +50,8 @@ SPAN = LENGTH - GRAM + 1  # grams in a window; the anchor's places
 PARTS = 8
 #: Window starts that are worked on at a time: longer texts are read in overlapping pieces.
 PIECE = 1 << 19
+#: Segments of one anchor that are sorted together.
+HOT = 512
 #: Symbols that are sorted at a time, unless one anchor's segments have more.
 SORT_SYMBOLS = 1 << 14
 
@@ -130,6 +134,7 @@ def _later(new: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def segment_rows(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
             found = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -161,16 +166,16 @@ def segment_rows(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(each, ", ".join(f"{c} long" for c in _ROW.names))
 
 
-def _settle(h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.ndarray, near: np.ndarray, far: np.ndarray) -> dict:
+def _settle(hot: int, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.ndarray, near: np.ndarray, far: np.ndarray) -> dict:
     """Rows of whole anchors, sorted: repeats of whole segments, and segments to be sorted by bytes."""
     run = pos < 0
-    out = [(np.zeros(run.sum(), dtype=np.int64), doc[run], -1 - pos[run], seg[run], h[run])]
+    out = [(np.zeros(run.sum(), dtype=np.int64), doc[run], -1 - pos[run], seg[run], h[run], h[run])]
     h, seg, doc, pos, codes = h[~run], seg[~run], doc[~run], pos[~run], np.column_stack([near[~run], far[~run]])
     if len(h):
         new_h = np.append(True, h[1:] != h[:-1])
         new = new_h | np.append(True, seg[1:] != seg[:-1])
         later = _later(new, doc, pos >> 14)
-        out.append((np.zeros(later.sum(), dtype=np.int64), doc[later], pos[later] >> 14, pos[later] & 127, h[later]))
+        out.append((np.zeros(later.sum(), dtype=np.int64), doc[later], pos[later] >> 14, pos[later] & 127, h[later], h[later]))
         group = (np.cumsum(new_h) - 1)[new]
         several = np.bincount(group)[group] > 1
         group, h, doc, pos = group[several], h[new][several], doc[new][several], pos[new][several]
@@ -181,15 +186,20 @@ def _settle(h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.ndarray, ne
             parts |= ((n[which] > 1) & (codes[:, k] > 0)).astype(np.int64) << k
         some = parts > 0
         first, place, count = pos[some] >> 14, (pos[some] >> 7) & 127, pos[some] & 127
-        # kind: 1 and above it the parts, the anchor's place and the number of windows
-        out.append((1 | (parts[some] << 1) | (place << 9) | (count << 16), doc[some], first, count, h[some]))
-    return dict(zip(("kind", "doc", "first", "count", "h"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
+        doc, anchor = doc[some], h[some]
+        _, which, n = np.unique(anchor, return_inverse=True, return_counts=True)
+        blocks = -(-n // hot)[which]
+        block = mixed(mixed(doc.view(np.uint64)) + first.astype(np.uint64)) % blocks.astype(np.uint64)
+        key = np.where(blocks > 1, mixed(anchor.view(np.uint64) + block * np.uint64(_BASE)).view(np.int64), anchor)
+        # kind: 1 and above it the parts, the anchor's place, the number of windows, and whether there are several blocks
+        out.append((1 | (parts[some] << 1) | (place << 9) | (count << 16) | ((blocks > 1).astype(np.int64) << 24), doc, first, count, key, anchor))
+    return dict(zip(_SETTLED.names, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
 
 
-_SETTLED = pa.schema([(c, pa.int64()) for c in ("kind", "doc", "first", "count", "h")])
+_SETTLED = pa.schema([(c, pa.int64()) for c in ("kind", "doc", "first", "count", "h", "anchor")])
 
 
-def settled(rows: DataFrame) -> DataFrame:
+def settled(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(kind 0: repeats doc, first, count; kind 1: segments to compare by bytes)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,23 +212,23 @@ def settled(rows: DataFrame) -> DataFrame:
             if held and held[-1][0][-1] != columns[0][0] or len(change):
                 cut = change[-1] + 1 if len(change) else 0
                 whole = [tuple(c[:cut] for c in columns)] if cut else []
-                yield batch_of(_SETTLED, _settle(*(np.concatenate(x) for x in zip(*held, *whole, strict=True))))
+                yield batch_of(_SETTLED, _settle(hot, *(np.concatenate(x) for x in zip(*held, *whole, strict=True))))
                 held = [tuple(c[cut:] for c in columns)]
             else:
                 held.append(columns)
         if held:
-            yield batch_of(_SETTLED, _settle(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield batch_of(_SETTLED, _settle(hot, *(np.concatenate(x) for x in zip(*held, strict=True))))
 
     ordered = rows.repartition("h").sortWithinPartitions("h", "seg", "doc", "pos")
     return ordered.mapInArrow(each, ", ".join(f"{c} long" for c in _SETTLED.names))
 
 
-_STRING = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("place", pa.int64()), ("windows", pa.int64()), ("bytes", pa.binary())])
+_STRING = pa.schema([*((c, pa.int64()) for c in ("h", "anchor", "hot", "doc", "first", "place", "windows")), ("bytes", pa.binary())])
 
 
 def strings(docs: DataFrame, segments_: DataFrame) -> DataFrame:
     """The bytes of the windows to compare, one row per segment: document, first window, anchor's place in it, windows."""
-    wanted = segments_.groupBy("doc").agg(F.collect_list(F.struct("first", "kind", "h")).alias("of"))
+    wanted = segments_.groupBy("doc").agg(F.collect_list(F.struct("first", "kind", "h", "anchor")).alias("of"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
@@ -227,82 +237,97 @@ def strings(docs: DataFrame, segments_: DataFrame) -> DataFrame:
             for k, (key, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 for x in lists[k].as_py():
                     kind, first = x["kind"], x["first"]
-                    parts, place, count = (kind >> 1) & 255, (kind >> 9) & 127, kind >> 16
+                    parts, place, count = (kind >> 1) & 255, (kind >> 9) & 127, (kind >> 16) & 127
                     ends = [PLACES[q] for q in range(PARTS) if parts >> q & 1]
                     start = first + max(0, place - ends[-1][1])
                     stop = first + min(count, place - ends[0][0] + 1)
-                    values = (x["h"], key, start, place - (start - first), stop - start, raw[start : stop - 1 + LENGTH])
+                    values = (x["h"], x["anchor"], kind >> 24, key, start, place - (start - first), stop - start, raw[start : stop - 1 + LENGTH])
                     for name, value in zip(out, values, strict=True):
                         out[name].append(value)
             yield batch_of(_STRING, out)
 
     texts = marked(docs, segments_.select(F.col("doc").alias("id")).distinct())
     joined = texts.join(wanted, texts["doc_id"] == wanted["doc"]).select("doc_id", "raw", "of")
-    return joined.mapInArrow(each, "h long, doc long, first long, place long, windows long, bytes binary")
+    return joined.mapInArrow(each, ", ".join(f"{c} long" for c in _STRING.names[:-1]) + ", bytes binary")
 
 
-def repeated_windows(rows: list[tuple[int, int, int, int, int, bytes]]) -> tuple[np.ndarray, ...]:
-    """Runs (doc, first, count) of the windows of ``rows`` that an earlier one repeats.
+_SORTED = pa.schema([(c, pa.int64()) for c in ("doc", "first", "count", "high", "low")])
+_WEIGHTS = mixed(np.arange(1, 2 * SPAN + 1, dtype=np.uint64) * np.uint64(_BASE)).reshape(SPAN, 2) | np.uint64(1)
+
+
+def repeated_windows(rows: list[tuple]) -> dict[str, np.ndarray]:
+    """What the windows of ``rows`` (as in ``strings``) repeat: runs of windows with an earlier equal one.
 
     All strings go into one sequence of symbols: bytes, one symbol above them for each anchor, and
     an end. A window is SPAN symbols long, from at most SPAN - 1 before the
-    anchor, and equal windows are neighbours in the suffix array.
+    anchor, and equal windows are neighbours in the suffix array. Of anchors with several
+    blocks the first of each equal windows comes out too, with a 128-bit hash (count 0).
     """
-    pieces, starts, docs, places, at, names = [], [], [], [], 0, {}
-    for h, doc, first, place, windows, raw in rows:
+    pieces, starts, of_row, at, names = [], [], [], 0, {}
+    for k, (h, _, _, _, _, place, windows, raw) in enumerate(rows):
         name = names.setdefault(h, len(names)) + 257
         data = np.frombuffer(raw, dtype=np.uint8).astype(np.int32) + 1
         # the anchor is at ``place`` of the string, whole
         pieces += [data[:place], np.array([name], dtype=np.int32), data[place + GRAM :], np.zeros(1, dtype=np.int32)]
         starts.append(np.arange(windows) + at)
-        docs.append(np.full(windows, doc))
-        places.append(np.arange(windows) + first)
+        of_row.append(np.full(windows, k))
         at += len(data) - GRAM + 2
-    symbols = np.concatenate(pieces)
-    is_start, doc_of, place_of = np.zeros(at, dtype=bool), np.zeros(at, dtype=np.int64), np.zeros(at, dtype=np.int64)
-    where = np.concatenate(starts)
-    is_start[where], doc_of[where], place_of[where] = True, np.concatenate(docs), np.concatenate(places)
+    symbols, where, row = np.concatenate(pieces), np.concatenate(starts), np.concatenate(of_row)
+    numbers = np.array([r[1:6] for r in rows], dtype=np.int64)
+    string_at = np.array([x[0] for x in starts])
+    row_of = np.full(at, -1)
+    row_of[where] = row
     order = suffix_array(np.append(symbols + 1, 0))[1:]
-    order = order[is_start[order]]
+    order = order[row_of[order] >= 0]
     view = np.lib.stride_tricks.sliding_window_view(np.append(symbols, np.zeros(SPAN, dtype=np.int32)), SPAN)
-    fresh = np.append(True, (view[order[1:]] != view[order[:-1]]).any(axis=1))
-    group = np.cumsum(fresh) - 1
-    doc, place = doc_of[order], place_of[order]
-    by = np.lexsort((place, doc, group))
-    again = by[_later(np.append(True, group[by][1:] != group[by][:-1]), doc[by], place[by])]
-    return _runs(doc[again], place[again], np.ones(len(again), dtype=np.int64))
-
-
-_REPEATS = pa.schema([("doc", pa.int64()), ("first", pa.int64()), ("count", pa.int64())])
+    group = np.cumsum(np.append(False, (view[order[1:]] != view[order[:-1]]).any(axis=1)))
+    row = row_of[order]
+    offset = order - string_at[row]
+    anchor, hot, doc, first, place = numbers[row].T
+    first, place = first + offset, place - offset
+    by = np.lexsort((first, doc, group))
+    new = np.append(True, group[by][1:] != group[by][:-1])
+    again = by[_later(new, doc[by], first[by])]
+    runs = _runs(doc[again], first[again], np.ones(len(again), dtype=np.int64))
+    left = by[new & (hot[by] > 0)]
+    window = view[order[left]].astype(np.uint64)
+    window[np.arange(len(left)), place[left]] = anchor[left].view(np.uint64)
+    high, low = (mixed((window * _WEIGHTS[:, k]).sum(axis=1, dtype=np.uint64)).view(np.int64) for k in (0, 1))
+    none = np.zeros(len(runs[0]), dtype=np.int64)
+    columns = zip((*runs, none, none), (doc[left], first[left], np.zeros(len(left), dtype=np.int64), high, low), strict=True)
+    return dict(zip(_SORTED.names, (np.concatenate(x) for x in columns), strict=True))
 
 
 def sorted_repeats(rows: DataFrame) -> DataFrame:
     """(doc, first, count) of repeats among segments that share an anchor only."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         held, symbols, key = [], 0, None
-
-        def flush() -> pa.RecordBatch:
-            return batch_of(_REPEATS, dict(zip(_REPEATS.names, repeated_windows(held), strict=True)))
-
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != key and symbols >= SORT_SYMBOLS:
-                    yield flush()
+                    yield batch_of(_SORTED, repeated_windows(held))
                     held, symbols = [], 0
                 key = row[0]
                 held.append(row)
-                symbols += len(row[5]) - GRAM + 2
+                symbols += len(row[-1]) - GRAM + 2
         if held:
-            yield flush()
+            yield batch_of(_SORTED, repeated_windows(held))
 
-    ordered = rows.repartition("h").sortWithinPartitions("h")
-    return ordered.mapInArrow(each, "doc long, first long, count long")
+    # a fixed number of tasks: sorting takes far more time than its bytes suggest
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(tasks, "h").sortWithinPartitions("h")
+    found = materialize(ordered.mapInArrow(each, ", ".join(f"{c} long" for c in _SORTED.names)))
+    left = found.where("count = 0")
+    least = left.groupBy("high", "low").agg(F.min(F.struct("doc", "first")).alias("least"))
+    again = left.join(least, ["high", "low"]).where(F.struct("doc", "first") != F.col("least")).select("doc", "first", F.lit(1).cast("long").alias("count"))
+    return found.where("count > 0").select("doc", "first", "count").union(again)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, runs): per document the runs of repeated windows as (first, count)."""
-    known = materialize(settled(segment_rows(docs)))
+    known = materialize(settled(segment_rows(docs), hot))
     whole = known.where("kind = 0").select("doc", "first", "count")
     partial = sorted_repeats(strings(docs, known.where("kind <> 0")))
     runs = materialize(whole.union(partial))
@@ -321,9 +346,9 @@ def kept_and_runs(raw: bytes, runs: list[dict] | None) -> tuple[np.ndarray, int]
     return ~gone, int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
 
 
-def cut(docs: DataFrame, make: Callable[[bytes, np.ndarray, int], tuple], schema: pa.Schema, kinds: str) -> DataFrame:
+def cut(docs: DataFrame, make: Callable[[bytes, np.ndarray, int], tuple], schema: pa.Schema, kinds: str, hot: int = HOT) -> DataFrame:
     """``make(raw, kept, n_spans)`` of every document that loses bytes, with its doc_id."""
-    found = materialize(repeats(docs))
+    found = materialize(repeats(docs, hot))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
@@ -343,14 +368,14 @@ def cut(docs: DataFrame, make: Callable[[bytes, np.ndarray, int], tuple], schema
 _CUT = pa.schema([("doc_id", pa.int64()), ("was_sha256", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
     def make(raw: bytes, kept: np.ndarray, spans: int) -> tuple:
         rest = np.frombuffer(raw, dtype=np.uint8)[kept].tobytes()
         return hashlib.sha256(raw).hexdigest(), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest()
 
-    lost = cut(docs, make, _CUT, "doc_id long, was_sha256 string, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "was_sha256"])
+    lost = cut(docs, make, _CUT, "doc_id long, was_sha256 string, n_removed long, n_spans long, kept_sha256 string", hot).dropDuplicates(["doc_id", "was_sha256"])
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     every = docs.select("doc_id", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("was_sha256"))
     zero = F.lit(0).cast("long")
