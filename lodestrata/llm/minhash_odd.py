@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
@@ -218,6 +218,10 @@ def across_components(members: DataFrame, bits: int) -> DataFrame:
     return ordered.mapInArrow(each, "a long, b long").distinct()
 
 
+def _blocks(members: Column) -> Column:
+    return F.ceil(members / BLOCK).cast("int")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = LINK_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     bits = most_different_bits(percent / 100 - MARGIN)
@@ -240,10 +244,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = LINK_PE
     found = components(verified(likely, sets, percent))
 
     tied = members.join(found, "id", "left").select("k", "id", F.coalesce("root", "id").alias("comp"))
-    split = tied.groupBy("k").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.count("*").alias("n")).where("one < other")
-    blocks = split.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = tied.join(blocks, "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = tied.groupBy("k", "comp").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("k").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = split.select("k", F.col("main.comp").alias("main"), _blocks(F.col("main.n")).alias("mains"), _blocks(F.col("n") - F.col("main.n")).alias("others"))
+    placed = tied.join(blocks, "k").withColumn("in_main", F.col("comp") == F.col("main"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    # the largest component's blocks are -1, -2, ...; they meet those of all others, never each other
+    all_mains, all_others = F.sequence(-F.col("mains"), F.lit(-1)), F.sequence(F.lit(0), F.col("others") - 1)
+    meets = F.when(F.col("in_main"), all_others).otherwise(F.concat(all_mains, all_others))
+    dealt = placed.withColumn("block", F.when(F.col("in_main"), -1 - own).otherwise(own)).withColumn("with", F.explode(meets))
     dealt = dealt.select("k", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "id", "comp")
     more = verified(across_components(dealt.join(sketches, "id"), bits), sets, percent)
     linked = found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
