@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,22 @@ _written: list[tuple[SparkSession, str]] = []
 ARROW_BYTES = "8m"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever it was started from."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_lodestrata_sent", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lodestrata-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._lodestrata_sent = True
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what a task holds of its input on both sides of the Arrow channel."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
