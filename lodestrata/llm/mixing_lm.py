@@ -3,22 +3,25 @@
 The text that is scored is a document's tokens: its words in lower case (A-Z only),
 one space between them, one end sign (a line feed) behind. A byte is a path of bits
 through a Huffman tree of the corpus. For every bit the counts under the 0 to ORDER
-bytes before it and the tree's node, found by hash, give one prediction each.
+bytes before it and the tree's node, found by key, give one prediction each.
 Their logits are added with weights from the set that a gate picks (the
-longest context known, and whether it has seen one outcome only); the weights are learnt online
-by logistic gradient steps, and an adaptive probability map, learnt online too, refines
-the sum. Minus the binary logarithms of the bits' probabilities add up to the bits of
+longest context known, and whether it has seen one outcome only); an adaptive probability map
+refines the sum. Minus the binary logarithms of the bits' probabilities add up to the bits of
 the text; a document's score is its base-10 logarithm.
 
 Nothing in a bit's probability depends on more than ORDER + 1 bytes, so it is
-evaluated once per distinct byte sequence of that length in a batch and looked up for all others.
+evaluated once per distinct byte sequence of that length of the corpus and looked up for all others.
 
-What is gathered: counts of all words and of all byte sequences of the training rows, by key.
-Words and sequences with a share of at least MIN_SHARE (so at most 1 / MIN_SHARE of each) go to the
-executors: the words to be looked up on the spot, the sequences as predictor tables of
-fixed size. All other words are joined with their counts by key. Mixing weights and map
-are fitted on SAMPLE_ROWS whole training rows (smallest hashes), each sequence's own occurrence
-taken off the counts.
+What is gathered: counts of all words and of all byte sequences of the training rows, by key. The tree
+and orders 0 and 1 come from the at most 2^16 pairs of bytes. Sequences that share the two bytes
+before their last meet in one task, where orders 2 to ORDER are summed over all of them, without a
+cut. Words and sequences with a share of at least MIN_SHARE (so at most 1 / MIN_SHARE of each) go to the
+executors with their counts or bits, to be looked up on the spot; all others are joined with theirs by
+key. The share decides the way of the lookup only, no score.
+
+Mixing weights and map are fitted on SAMPLE_ROWS whole training rows (smallest hashes), by sums of
+gradients over their sequences, each one's own occurrence taken off the counts: PASSES of Newton's
+steps to the weights, then one pass for the map.
 
 Defined cases: null texts are empty: an end sign alone; repeated rows are scored each; with no
 training rows every count is 0 and all bits have probability 1/2; null ids are not held out and
@@ -28,7 +31,7 @@ not trained on.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, id_remainder, materialize, resident
+from .common import batch_of, id_and_bytes, id_remainder, materialize, resident, small_batches
 from .shingles import mixed, word_hashes
 
 ORDER = 5
 MIN_SHARE = 2.0**-21
 SAMPLE_ROWS = 300
-#: Slots of each order's table, as powers of two.
-SLOTS = (8, 16, 20, 22, 23, 23)
+#: Newton's steps to the mixing weights.
+PASSES = 4
 #: Logits are stored in steps of 1 / SCALE.
 SCALE = 12.0
 MAP_CONTEXTS, MAP_STEPS = 1024, 24
@@ -73,8 +76,8 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[own], lengths
 
 
-def count_all(train: DataFrame) -> DataFrame:
-    """(kind, key, n): kind 0 words by hash, kind 1 byte sequences, kind 2 rows."""
+def count_all(docs: DataFrame, chosen: Column, text_col: str = "text") -> DataFrame:
+    """(kind, key, n) over the chosen rows: kind 0 words by hash, kind 1 byte sequences (those of other rows with 0), kind 2 rows."""
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +91,15 @@ def count_all(train: DataFrame) -> DataFrame:
         resident()
         held: list[list] = [[], []]
         rows = 0
-        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20, column=0)):
+            every, use = [x or b"" for x in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            texts, others = ([x for x, u in zip(every, use, strict=True) if u is t] for t in (True, False))
             rows += len(texts)
-            for k, keys in enumerate((word_hashes(texts)[0], sequences(texts)[0])):
-                held[k].append(np.unique(keys, return_counts=True))
+            found = [(0, word_hashes(texts)[0], 1), (1, sequences(texts)[0], 1)] if texts else []
+            found += [(1, sequences(others)[0], 0)] if others else []
+            for k, keys, times in found:
+                some, n = np.unique(keys, return_counts=True)
+                held[k].append((some, n * times))
                 if sum(len(x) for x, _ in held[k][1:]) > 2_000_000:
                     held[k] = [added(held[k])]
         for k in (0, 1):
@@ -101,7 +108,9 @@ def count_all(train: DataFrame) -> DataFrame:
                 yield batch_of(schema, {"kind": np.full(len(keys), k, dtype=np.int32), "key": keys.view(np.int64), "n": counts})
         yield batch_of(schema, {"kind": [2], "key": [0], "n": [rows]})
 
-    return train.mapInArrow(each, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(text_col).cast("binary").alias("raw"), F.coalesce(chosen, F.lit(False)).alias("use"))
+    return texts.mapInArrow(each, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,60 +143,70 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predictor tables, gated weights and the refining map."""
+    """The tree, the counts of the two lowest orders, gated weights and the refining map."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        """From byte sequences and how often each occurs."""
-        byte = (keys & np.uint64(255)).astype(np.int64)
-        self.length, self.nodes, self.bits = huffman(np.bincount(byte, weights=counts, minlength=256))
-        self.zeros = [np.zeros(1 << s, dtype=np.float32) for s in SLOTS]
-        self.ones = [np.zeros(1 << s, dtype=np.float32) for s in SLOTS]
-        contexts = self.contexts(keys)
-        for at, node, bit in self.steps(byte):
-            for k in range(ORDER + 1):
-                slot = self.slots(k, contexts[k][at], node)
-                for bits, table in ((0, self.zeros), (1, self.ones)):
-                    np.add.at(table[k], slot[bit == bits], counts[at[bit == bits]])
+        """From byte sequences, of which only the last two bytes are used here, and how often each occurs."""
+        self.keys, self.counts = keys, counts
+        pairs = np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), weights=counts, minlength=1 << 16)
+        self.length, self.nodes, self.bits = huffman(pairs.reshape(256, 256).sum(axis=0))
+        used = np.flatnonzero(pairs)
+        at, _, node, bit = self.paths(used & 255)
+        self.low = np.zeros((2, 2, 1 << 16))  # order, outcome, context and node
+        for order, place in ((0, node), (1, (used[at] >> 8 << 8) | node)):
+            for outcome in (0, 1):
+                some = bit == outcome
+                self.low[order, outcome] = np.bincount(place[some], weights=pairs[used[at[some]]], minlength=1 << 16)
         gates = 2 * (ORDER + 1)
         self.weights = np.full((gates, ORDER + 2), 0.0)
         for g in range(gates):
             self.weights[g, : g // 2 + 1] = 0.2
             self.weights[g, g // 2] = 0.8
-        grid = np.linspace(-12, 12, MAP_STEPS + 1)
-        self.map = np.tile(_squash(grid), (MAP_CONTEXTS, 1))
-        self.tables: list[np.ndarray] = []
-
-    @staticmethod
-    def contexts(keys: np.ndarray) -> list[np.ndarray]:
-        """Hash of the k bytes before each byte, for every order k."""
-        before = keys >> np.uint64(8)
-        return [mixed((before & np.uint64((1 << (8 * k)) - 1)) * _GOLD + np.uint64(k)) for k in range(ORDER + 1)]
-
-    def steps(self, byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per depth: the rows whose byte's path goes so deep, their nodes and bits."""
-        at = np.arange(len(byte))
-        for d in range(self.nodes.shape[1]):
-            at = at[self.length[byte[at]] > d]
-            if not len(at):
-                return
-            yield at, self.nodes[byte[at], d], self.bits[byte[at], d]
+        self.map = np.tile(_squash(np.linspace(-12, 12, MAP_STEPS + 1)), (MAP_CONTEXTS, 1))
+
+    def paths(self, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, depth, node, bit) of every step of every byte's path, in order."""
+        n = self.length[byte]
+        at = np.repeat(np.arange(len(byte)), n)
+        depth = np.arange(len(at)) - (np.cumsum(n) - n)[at]
+        return at, depth, self.nodes[byte[at], depth], self.bits[byte[at], depth]
+
+    def seen(self, keys: np.ndarray, counts: np.ndarray, most: int = 1 << 15) -> Iterator[tuple]:
+        """For parts of the distinct ``keys``: (slice, row, node, bit, counts of 0 per order, counts of 1).
+
+        All counted sequences that share the last two bytes of a context with one of the keys must be among them.
+        """
+        high = []
+        for order in range(2, ORDER + 1):
+            some, of = np.unique(keys & np.uint64((1 << (8 * order + 8)) - 1), return_inverse=True)
+            n = np.bincount(of, weights=counts, minlength=len(some))
+            byte = (some & np.uint64(255)).astype(np.int64)
+            at, _, node, bit = self.paths(byte)
+            slot = np.unique((some[at] >> np.uint64(8) << np.uint64(8)) | node.astype(np.uint64), return_inverse=True)[1].astype(np.int32)
+            both = [np.bincount(slot, weights=n[at] * (bit == outcome)) for outcome in (0, 1)]
+            first = np.cumsum(self.length[byte]) - self.length[byte]
+            high.append((of, first, slot, both))
+        for start in range(0, len(keys), most):
+            part = keys[start : start + most]
+            at, depth, node, bit = self.paths((part & np.uint64(255)).astype(np.int64))
+            context = ((part >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
+            low = (node, (context[at] << 8) | node)
+            found = [[self.low[k, outcome][low[k]] for k in (0, 1)] for outcome in (0, 1)]
+            for of, first, slot, both in high:
+                place = slot[first[of[start : start + most]][at] + depth]
+                for outcome in (0, 1):
+                    found[outcome].append(both[outcome][place])
+            yield slice(start, start + most), at, node, bit, *found
 
     @staticmethod
-    def slots(order: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        if not order:
-            return node
-        return (((context + node.astype(np.uint64)) * _GOLD) >> np.uint64(64 - SLOTS[order])).astype(np.int64)
-
-    def inputs(self, zeros: list[np.ndarray], ones: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(logits of all orders and a constant, gate) from the counts per order."""
-        x = np.zeros((len(zeros[0]), ORDER + 2))
-        gate = np.zeros(len(zeros[0]), dtype=np.int64)
+    def inputs(zeros: list[np.ndarray], ones: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(logits of all orders in steps, gate) from the counts per order."""
+        x = np.zeros((len(zeros[0]), ORDER + 1), dtype=np.int8)
+        gate = np.zeros(len(zeros[0]), dtype=np.uint8)
         for k in range(ORDER + 1):
-            n = zeros[k] + ones[k]
-            x[:, k] = self.stored(zeros[k], ones[k]) / SCALE
-            sure = (np.minimum(zeros[k], ones[k]) <= 0).astype(np.int64)
-            gate = np.where(n > 0, 2 * k + sure, gate)
-        x[:, -1] = 0.3
+            x[:, k] = Mixer.stored(zeros[k], ones[k])
+            sure = np.minimum(zeros[k], ones[k]) <= 0
+            gate = np.where(zeros[k] + ones[k] > 0, 2 * k + sure, gate).astype(np.uint8)
         return x, gate
 
     @staticmethod
@@ -195,30 +214,74 @@ class Mixer:
         """Logit as it is kept: whole steps, 0 if nothing was seen."""
         return np.where(zeros + ones > 0, np.clip(np.rint(SCALE * _logit((ones + 0.4) / (zeros + ones + 0.8))), -127, 127), 0.0)
 
-    def learn(self, keys: np.ndarray, rate: float = 0.02, map_rate: float = 0.02, batch: int = 512) -> None:
-        """Online: each sequence's bits in turn, without their own occurrence in the counts."""
-        for start in range(0, len(keys), 4096):
-            some = keys[start : start + 4096]
-            byte, contexts, parts = (some & np.uint64(255)).astype(np.int64), self.contexts(some), []
-            for at, node, bit in self.steps(byte):
-                found = []
-                for table, own in ((self.zeros, bit == 0), (self.ones, bit == 1)):
-                    found.append([np.maximum(0.0, table[k][self.slots(k, contexts[k][at], node)] - own) for k in range(ORDER + 1)])
-                x, gate = self.inputs(*found)
-                parts.append((at, x, gate, bit, self.map_context(contexts[1][at], node)))
-            at, x, gate, bit, place = (np.concatenate(v) for v in zip(*parts, strict=True))
-            order = np.argsort(at, kind="stable")
-            x, gate, bit, place = x[order], gate[order], bit[order], place[order]
-            for k in range(0, len(x), batch):
-                s = slice(k, k + batch)
-                total = np.clip((x[s] * self.weights[gate[s]]).sum(axis=1), -11.9, 11.9)
-                miss = bit[s] - _squash(total)
-                np.add.at(self.weights, gate[s], rate * miss[:, None] * x[s])
-                low, part = self.map_place(total)
-                for shift, weight in ((0, 1 - part), (1, part)):
-                    cell = (place[s], low + shift)
-                    np.add.at(self.map, cell, map_rate * weight * (bit[s] - self.map[cell]))
-        self.map = np.clip(self.map, 1e-6, 1 - 1e-6)
+    @staticmethod
+    def scaled(x: np.ndarray) -> np.ndarray:
+        """Logits of all orders and a constant."""
+        return np.column_stack([x / SCALE, np.full(len(x), 0.3)])
+
+    def total(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip((x * self.weights[gate]).sum(axis=1), -11.9, 11.9)
+
+    def lessons(self, keys: np.ndarray, counts: np.ndarray, times: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        """What learning needs of the sequences that occur ``times`` > 0: inputs without a sequence's own occurrence."""
+        for part, at, node, bit, zeros, ones in self.seen(keys, counts):
+            n = times[part][at]
+            use = n > 0
+            at, node, bit, n = at[use], node[use], bit[use], n[use]
+            x, gate = self.inputs(*([np.maximum(0.0, c[use] - (bit == outcome)) for c in some] for outcome, some in ((0, zeros), (1, ones))))
+            place = self.map_context(self.context(keys[part])[at], node)
+            yield {"x": x, "gate": gate, "bit": bit.astype(np.uint8), "place": place.astype(np.uint16), "n": n.astype(np.float64)}
+
+    def slopes(self, lesson: dict[str, np.ndarray]) -> np.ndarray:
+        """Per gate the gradient of the log likelihood and the matrix of its second derivatives, summed over all occurrences."""
+        out = np.zeros((len(self.weights), ORDER + 2, ORDER + 3))
+        for g in np.unique(lesson["gate"]):
+            some = lesson["gate"] == g
+            x, n = self.scaled(lesson["x"][some]), lesson["n"][some]
+            p = _squash(self.total(x, lesson["gate"][some]))
+            out[g, :, 0] = x.T @ (n * (lesson["bit"][some] - p))
+            out[g, :, 1:] = (x * (n * p * (1 - p))[:, None]).T @ x
+        return out
+
+    def step(self, slopes: np.ndarray, hold: float = 1.0) -> None:
+        """One of Newton's steps; gates that met nothing stay."""
+        for g, s in enumerate(slopes):
+            self.weights[g] += np.clip(np.linalg.solve(s[:, 1:] + hold * np.eye(ORDER + 2), s[:, 0]), -0.5, 0.5)
+
+    def outcomes(self, lesson: dict[str, np.ndarray]) -> np.ndarray:
+        """Per cell of the map the weight of its bits that are 1, and of all."""
+        low, part = self.map_place(self.total(self.scaled(lesson["x"]), lesson["gate"]))
+        out = np.zeros((2, self.map.size))
+        for shift, weight in ((0, 1 - part), (1, part)):
+            cell = lesson["place"].astype(np.int64) * (MAP_STEPS + 1) + low + shift
+            out[0] += np.bincount(cell, weights=lesson["n"] * weight * lesson["bit"], minlength=self.map.size)
+            out[1] += np.bincount(cell, weights=lesson["n"] * weight, minlength=self.map.size)
+        return out
+
+    def refine(self, outcomes: np.ndarray, hold: float = 50.0) -> None:
+        """Every cell becomes the mean of its outcomes; its starting value counts ``hold`` times."""
+        ones, every = (x.reshape(self.map.shape) for x in outcomes)
+        self.map = np.clip((ones + hold * self.map) / (every + hold), 1e-6, 1 - 1e-6)
+
+    def learn(self, keys: np.ndarray) -> None:
+        """From sequences, each as often as it occurs, in this process."""
+        of, times = np.unique(keys, return_counts=True)
+        every = np.union1d(self.keys, of)
+        counts, n = np.zeros(len(every)), np.zeros(len(every))
+        counts[np.searchsorted(every, self.keys)] = self.counts
+        n[np.searchsorted(every, of)] = times
+        lessons = list(self.lessons(every, counts, n))
+        for _ in range(PASSES):
+            self.step(sum(self.slopes(x) for x in lessons))
+        self.refine(sum(self.outcomes(x) for x in lessons))
+
+    def freeze(self) -> None:
+        """Learning has ended; counts stay exact, so nothing is left to turn into tables."""
+
+    @staticmethod
+    def context(keys: np.ndarray) -> np.ndarray:
+        """Hash of the byte before each byte."""
+        return mixed(((keys >> np.uint64(8)) & np.uint64(255)) * _GOLD + np.uint64(1))
 
     @staticmethod
     def map_context(context: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -230,105 +293,193 @@ class Mixer:
         low = at.astype(np.int64)
         return low, at - low
 
-    def freeze(self) -> None:
-        """Counts become logits in bytes, which is all that scoring needs."""
-        self.tables = []
-        for zeros, ones in zip(self.zeros, self.ones, strict=True):
-            table = np.full(len(zeros), -32768, dtype=np.int16)
-            for k in range(0, len(zeros), 1 << 20):
-                some = slice(k, k + (1 << 20))
-                seen = np.flatnonzero(zeros[some] + ones[some])
-                a, b = zeros[some][seen], ones[some][seen]
-                # the lowest bit tells whether one outcome only was seen
-                table[some][seen] = (self.stored(a, b).astype(np.int16) << 1) | (np.minimum(a, b) <= 0)
-            self.tables.append(table)
-        self.zeros = self.ones = []
-
-    def bits_of(self, keys: np.ndarray, most: int = 1 << 16) -> np.ndarray:
-        """Bits that each sequence's last byte takes."""
-        if len(keys) > most:
-            return np.concatenate([self.bits_of(keys[k : k + most]) for k in range(0, len(keys), most)])
+    def bits_among(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Bits that each of the distinct ``keys``' last byte takes; see ``seen`` for what must be among them."""
         out = np.zeros(len(keys))
-        byte, contexts = (keys & np.uint64(255)).astype(np.int64), self.contexts(keys)
-        for at, node, bit in self.steps(byte):
-            x = np.zeros((len(at), ORDER + 2))
-            gate = np.zeros(len(at), dtype=np.int64)
-            for k in range(ORDER + 1):
-                v = self.tables[k][self.slots(k, contexts[k][at], node)]
-                known = v != -32768
-                x[:, k] = np.where(known, (v >> 1) / SCALE, 0.0)
-                gate = np.where(known, 2 * k + (v & 1), gate)
-            x[:, -1] = 0.3
-            total = np.clip((x * self.weights[gate]).sum(axis=1), -11.9, 11.9)
-            low, part = self.map_place(total)
-            place = self.map_context(contexts[1][at], node)
-            refined = self.map[place, low] * (1 - part) + self.map[place, low + 1] * part
+        for part, at, node, bit, zeros, ones in self.seen(keys, counts):
+            x, gate = self.inputs(zeros, ones)
+            total = self.total(self.scaled(x), gate)
+            low, share = self.map_place(total)
+            place = self.map_context(self.context(keys[part])[at], node)
+            refined = self.map[place, low] * (1 - share) + self.map[place, low + 1] * share
             p = (_squash(total) + refined) / 2
-            out[at] -= np.log2(np.where(bit == 1, p, 1 - p))
+            out[part] = np.bincount(at, weights=-np.log2(np.where(bit == 1, p, 1 - p)), minlength=len(out[part]))
         return out
 
+    def bits_of(self, keys: np.ndarray) -> np.ndarray:
+        """Bits that each sequence's last byte takes, by the counts that this object was made from."""
+        every = np.union1d(self.keys, keys)
+        counts = np.zeros(len(every))
+        counts[np.searchsorted(every, self.keys)] = self.counts
+        return self.bits_among(every, counts)[np.searchsorted(every, keys)]
+
 
 class Model:
-    """What scoring needs: totals, the frequent words' counts and the mixer."""
+    """What scoring needs: totals, the frequent words' counts and the frequent sequences' bits."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, ends: int, mixer: Mixer):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, ends: int, keys: np.ndarray, bits: np.ndarray):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
-        self.tokens, self.distinct, self.ends, self.mixer = tokens, distinct, ends, mixer
+        self.tokens, self.distinct, self.ends = tokens, distinct, ends
+        order = np.argsort(keys)
+        self.keys, self.bits = keys[order], bits[order]
 
     def log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
+    def finder(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Sequences to their bits, NaN if they are not frequent: one probe, and a search for those that met another."""
+        size = max(4, (4 * len(self.keys)).bit_length())
+        slot = lambda keys: ((keys * _GOLD) >> np.uint64(64 - size)).astype(np.int64)
+        table = np.full(1 << size, -1, dtype=np.int32)
+        table[slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
+        beaten = np.flatnonzero(table[slot(self.keys)] != np.arange(len(self.keys)))
+        more = self.keys[beaten]
+
+        def bits(keys: np.ndarray) -> np.ndarray:
+            out = np.full(len(keys), np.nan)
+            if not len(self.keys):
+                return out
+            at = table[slot(keys)]
+            hit = (at >= 0) & (self.keys[at] == keys)
+            out[hit] = self.bits[at[hit]]
+            if len(more):
+                left = np.flatnonzero(~hit & (at >= 0))
+                at = np.minimum(np.searchsorted(more, keys[left]), len(more) - 1)
+                hit = more[at] == keys[left]
+                out[left[hit]] = self.bits[beaten[at[hit]]]
+            return out
+
+        return bits
+
+
+def by_context(seqs: DataFrame, columns: list[str], each: Callable[..., Iterator[pa.RecordBatch]], kinds: str, least: int = 1 << 16) -> DataFrame:
+    """What ``each`` makes of the arrays of (key, *columns), all sequences that share the last two bytes of the context together."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
+        held: list[list[np.ndarray]] = []
 
-def train(docs: DataFrame, chosen: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[Model, DataFrame]:
-    """(the model, counts of all words by hash) from the rows that ``chosen`` admits."""
-    rows = id_and_bytes(docs.where(chosen))
-    counts = materialize(count_all(rows))
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from each(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+
+        for batch in batches:
+            key, *more = (batch.column(c).to_numpy() for c in range(1 + len(columns)))
+            key = key.view(np.uint64)
+            place = (key >> np.uint64(8)) & np.uint64(0xFFFF)
+            cut = np.flatnonzero(place[1:] != place[:-1]) + 1
+            for start, stop in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+                if start == stop:
+                    continue
+                if held and sum(len(h[0]) for h in held) >= least and ((held[-1][0][-1] >> np.uint64(8)) & np.uint64(0xFFFF)) != place[start]:
+                    yield from flush()
+                held.append([c[start:stop] for c in (key, *more)])
+        yield from flush()
+
+    place = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))
+    return seqs.select("key", *columns, place.alias("place")).repartition("place").sortWithinPartitions("place", "key").mapInArrow(grouped, kinds)
+
+
+_LESSON = {"x": np.int8, "gate": np.uint8, "bit": np.uint8, "place": np.uint16, "n": np.float64}
+
+
+def learn(mixer: Mixer, seqs: DataFrame) -> None:
+    """Weights, then the map, from the sums over all (key, n, times) of ``seqs`` with times > 0."""
+    schema = pa.schema([(c, pa.binary()) for c in _LESSON])
+
+    def taught(keys: np.ndarray, n: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lesson in mixer.lessons(keys, n, times):
+            yield batch_of(schema, {c: [lesson[c].tobytes()] for c in _LESSON})
+
+    lessons = materialize(by_context(seqs, ["n", "times"], taught, ", ".join(f"{c} binary" for c in _LESSON)))
+
+    def summed(of: str, shape: tuple[int, ...]) -> np.ndarray:
+        """The sum of what the mixer, as it is now, makes of every lesson."""
+        sums = pa.schema([("cell", pa.int32()), ("v", pa.float64())])
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    lesson = {c: np.frombuffer(row[c], dtype=t) for c, t in _LESSON.items()}
+                    total += getattr(mixer, of)(lesson | {"x": lesson["x"].reshape(-1, ORDER + 1)})
+            at = np.flatnonzero(total)
+            yield batch_of(sums, {"cell": at, "v": total.ravel()[at]})
+
+        out = np.zeros(shape)
+        found = lessons.mapInArrow(each, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+        out.ravel()[found.column("cell").to_numpy()] = found.column("v").to_numpy()
+        return out
+
+    for _ in range(PASSES):
+        mixer.step(summed("slopes", (*mixer.weights.shape, ORDER + 3)))
+    mixer.refine(summed("outcomes", (2, mixer.map.size)))
+
+
+def train(docs: DataFrame, chosen: Column) -> tuple[Model, DataFrame, DataFrame]:
+    """(the model, counts of all words by hash, bits of all less frequent sequences) from the
+    rows that ``chosen`` admits; sequences of the other rows are in it with a count of 0."""
+    counts = materialize(count_all(docs, chosen))
     totals = {r["kind"]: (r["n"], r["d"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
     (words, distinct), (bytes_, _), (ends, _) = (totals.get(k, (0, 0)) for k in range(3))
-    least = F.when(F.col("kind") == 0, words * MIN_SHARE).otherwise(bytes_ * MIN_SHARE)
-    often = counts.where("kind < 2").where(F.col("n") >= least).toArrow().sort_by([("kind", "ascending"), ("key", "ascending")])
-    kind, key, n = (often.column(c).to_numpy() for c in ("kind", "key", "n"))
-    mixer = Mixer(key[kind == 1].view(np.uint64), n[kind == 1].astype(np.float32))
+    often = counts.where("kind = 0").where(F.col("n") >= words * MIN_SHARE).toArrow()
+    seqs = counts.where("kind = 1").select("key", "n")
+    pairs = seqs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    mixer = Mixer(pairs.column("key").to_numpy().view(np.uint64), pairs.column("n").to_numpy().astype(np.float64))
     # ids first: only the chosen texts are moved
-    ids = rows.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    rows = id_and_bytes(docs.where(chosen))
+    ids = rows.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     sample = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).drop("id")
-    schema = pa.schema([("order", pa.int64()), ("key", pa.int64())])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = sequences([raw or b""])[0]
-                yield batch_of(schema, {"order": np.full(len(keys), doc_id), "key": keys.view(np.int64)})
-
-    found = sample.mapInArrow(each, "order long, key long").toArrow().sort_by([("order", "ascending"), ("key", "ascending")])
-    keys = found.column("key").to_numpy().view(np.uint64)
-    mixer.learn(keys[np.random.default_rng(3).permutation(len(keys))])
-    mixer.freeze()
-    is_word = kind == 0
-    model = Model(key[is_word].view(np.uint64), n[is_word], words + ends, distinct + (ends > 0), ends, mixer)
-    return model, counts.where("kind = 0").select(F.col("key").alias("word"), "n")
+    taken = count_all(sample, F.lit(True), "raw").where("kind = 1").select("key", F.col("n").alias("times"))
+    learn(mixer, seqs.join(taken, "key", "left").select("key", "n", F.coalesce("times", F.lit(0)).cast("long").alias("times")))
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bits", pa.float64())])
+
+    def each(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield batch_of(schema, {"key": keys.view(np.int64), "n": n, "bits": mixer.bits_among(keys, n)})
+
+    bits = materialize(by_context(seqs, ["n"], each, "key long, n long, bits double"))
+    frequent = F.col("n") >= max(1.0, bytes_ * MIN_SHARE)
+    top = bits.where(frequent).select("key", "bits").toArrow()
+    model = Model(
+        often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy(), words + ends, distinct + (ends > 0), ends,
+        top.column("key").to_numpy().view(np.uint64), top.column("bits").to_numpy(),
+    )
+    return model, counts.where("kind = 0").select(F.col("key").alias("word"), "n"), bits.where(~frequent).select(F.col("key").alias("seq"), "bits")
 
 
 _PARTS = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()),
-    ("n_bytes", pa.int64()), ("word", pa.int64()), ("times", pa.int64()),
+    ("n_bytes", pa.int64()), ("word", pa.int64()), ("seq", pa.int64()), ("times", pa.int64()),
 ])
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score, bits_per_byte) of every row."""
+def _per_row(keys: np.ndarray, owner: np.ndarray, name: str, row: int) -> pa.RecordBatch:
+    """One row per document and distinct key, with how often it occurs there."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+    columns = {"row": row + owner[first], name: keys[first].view(np.int64), "times": np.diff(np.append(first, len(keys)))}
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(first), f.type) for f in _PARTS], schema=_PARTS)
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, rare_bits: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score, bits_per_byte) of every row of what ``train`` has seen."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        bits_of = m.finder()
         row = TaskContext.get().partitionId() << 33
         empty = m.log10(np.array([m.ends]))[0]
         for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             keys, lengths = sequences(texts)
-            distinct, where = np.unique(keys, return_inverse=True)
-            bits = np.add.reduceat(m.mixer.bits_of(distinct)[where], np.cumsum(lengths) - lengths)
+            each_bits = bits_of(keys)
+            far = np.flatnonzero(np.isnan(each_bits))
+            each_bits[far] = 0.0
+            bits = np.add.reduceat(each_bits, np.cumsum(lengths) - lengths)
             words, n = word_hashes(texts)
             owner = np.repeat(np.arange(len(texts)), n)
             at = np.searchsorted(m.words, words)
@@ -338,42 +489,37 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 hit = m.words[at] == words
             base = np.bincount(owner[hit], weights=m.log10(m.counts[at[hit]]), minlength=len(texts)) + empty if len(m.words) else np.full(len(texts), empty)
             known = np.bincount(owner[hit], minlength=len(texts)) + (m.ends > 0)
-            nothing = np.zeros(len(texts), dtype=np.int64)
+            none = pa.nulls(len(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([
                 pa.array(row + np.arange(len(texts))), batch.column(0), pa.array(n.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base),
-                pa.array(bits), pa.array(lengths), pa.array(nothing, mask=nothing == 0), pa.array(nothing),
-            ], schema=_PARTS)
-            # the rarer words: one row per document and word, to meet their counts by key
-            rare, rare_owner = words[~hit], owner[~hit]
-            order = np.lexsort((rare, rare_owner))
-            rare, rare_owner = rare[order], rare_owner[order]
-            first = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rare_owner[1:] != rare_owner[:-1]))) if len(rare) else np.zeros(0, dtype=np.int64)
-            k = len(first)
-            zero = np.zeros(k, dtype=np.int64)
-            no = pa.array(zero, mask=zero == 0)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(row + rare_owner[first]), no, no, no, pa.array(zero.astype(float), mask=zero == 0), pa.array(zero.astype(float), mask=zero == 0), no,
-                pa.array(rare[first].view(np.int64)), pa.array(np.diff(np.append(first, len(rare)))),
+                pa.array(bits), pa.array(lengths), none, none, none,
             ], schema=_PARTS)
+            # the rarer words and sequences: one row per document and each, to meet their counts and bits by key
+            yield _per_row(words[~hit], owner[~hit], "word", row)
+            yield _per_row(keys[far], np.searchsorted(np.cumsum(lengths), far, side="right"), "seq", row)
             row += len(texts)
 
-    kinds = "row long, doc_id long, n_tokens long, known long, base double, bits double, n_bytes long, word long, times long"
+    kinds = "row long, doc_id long, n_tokens long, known long, base double, bits double, n_bytes long, word long, seq long, times long"
     parts = materialize(id_and_bytes(docs).mapInArrow(each, kinds))
-    rare = parts.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
     chance = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))
-    more = rare.groupBy("row").agg(F.sum(F.col("times") * chance).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = parts.where("n_tokens is not null").drop("word", "times").join(more, "row", "left")
+    rare = parts.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
+    rare = rare.select("row", (F.col("times") * chance).alias("more"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_bits"))
+    far = parts.where("seq is not null").select("row", "seq", "times").join(rare_bits, "seq", "left")
+    far = far.select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("more_known"), (F.col("times") * F.col("bits")).alias("more_bits"))
+    more = rare.union(far).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "more_known", "more_bits")))
+    out = parts.where("n_tokens is not null").drop("word", "seq", "times").join(more, "row", "left")
+    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (-F.col("bits") * float(np.log10(2))).alias("score"), (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (-bits * float(np.log10(2))).alias("score"), (bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
 def score_documents(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """Learn from the other folds, score all rows."""
     remainder = id_remainder(F.col("doc_id"), folds)
-    model, counts = train(docs, remainder != held)
+    model, counts, rare_bits = train(docs, remainder != held)
     held_out = F.coalesce(id_remainder(F.col("doc_id"), folds) == held, F.lit(False))
-    return score(docs, model, counts).select(
+    return score(docs, model, counts, rare_bits).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte"
     )

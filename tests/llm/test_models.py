@@ -62,6 +62,17 @@ def test_language_model_odd_rows(spark):
     assert mixing_lm.score_documents(table(spark, ODD).limit(0)).count() == 0
 
 
+def test_language_model_scores_do_not_depend_on_the_broadcast_cut(spark, documents, monkeypatch):
+    rows = [(r.doc_id, r.text, None) for r in documents.limit(120).collect()]
+    got = []
+    for share in (2.0**-21, 2.0**-9, 2.0):
+        monkeypatch.setattr(mixing_lm, "MIN_SHARE", share)
+        got.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in mixing_lm.score_documents(table(spark, rows)).collect()})
+    assert len(got[0]) == len(rows)
+    for other in got[1:]:
+        assert all(other[d] == pytest.approx(v, rel=1e-9) for d, v in got[0].items())
+
+
 def test_bits_are_a_distribution():
     texts = [b"the cat sat on the mat", b"the dog sat on the log"] * 20
     keys, counts = np.unique(mixing_lm.sequences(texts)[0], return_counts=True)
