@@ -19,9 +19,9 @@ cut. Words and sequences with a share of at least MIN_SHARE (so at most 1 / MIN_
 executors with their counts or bits, to be looked up on the spot; all others are joined with theirs by
 key. The share decides the way of the lookup only, no score.
 
-Mixing weights and map are fitted on SAMPLE_ROWS whole training rows (smallest hashes), by sums of
-gradients over their sequences, each one's own occurrence taken off the counts: PASSES of Newton's
-steps to the weights, then one pass for the map.
+Mixing weights and map are learnt from all training rows, by sums over the counted sequences, each one's
+own occurrence taken off the counts: PASSES of Newton's steps to the weights on summed gradients,
+then one pass for the map. Only those sums, of fixed size, reach the driver.
 
 Defined cases: null texts are empty: an end sign alone; repeated rows are scored each; with no
 training rows every count is 0 and all bits have probability 1/2; null ids are not held out and
@@ -45,7 +45,6 @@ from .shingles import mixed, word_hashes
 
 ORDER = 5
 MIN_SHARE = 2.0**-21
-SAMPLE_ROWS = 300
 #: Newton's steps to the mixing weights.
 PASSES = 4
 #: Logits are stored in steps of 1 / SCALE.
@@ -76,7 +75,7 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[own], lengths
 
 
-def count_all(docs: DataFrame, chosen: Column, text_col: str = "text") -> DataFrame:
+def count_all(docs: DataFrame, chosen: Column) -> DataFrame:
     """(kind, key, n) over the chosen rows: kind 0 words by hash, kind 1 byte sequences (those of other rows with 0), kind 2 rows."""
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -109,7 +108,7 @@ def count_all(docs: DataFrame, chosen: Column, text_col: str = "text") -> DataFr
         yield batch_of(schema, {"kind": [2], "key": [0], "n": [rows]})
 
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(text_col).cast("binary").alias("raw"), F.coalesce(chosen, F.lit(False)).alias("use"))
+    texts = docs.select(F.col("text").cast("binary").alias("raw"), F.coalesce(chosen, F.lit(False)).alias("use"))
     return texts.mapInArrow(each, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -386,14 +385,14 @@ _LESSON = {"x": np.int8, "gate": np.uint8, "bit": np.uint8, "place": np.uint16,
 
 
 def learn(mixer: Mixer, seqs: DataFrame) -> None:
-    """Weights, then the map, from the sums over all (key, n, times) of ``seqs`` with times > 0."""
+    """Weights, then the map, from the sums over all occurrences of (key, n) in ``seqs``."""
     schema = pa.schema([(c, pa.binary()) for c in _LESSON])
 
-    def taught(keys: np.ndarray, n: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lesson in mixer.lessons(keys, n, times):
+    def taught(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lesson in mixer.lessons(keys, n, n):
             yield batch_of(schema, {c: [lesson[c].tobytes()] for c in _LESSON})
 
-    lessons = materialize(by_context(seqs, ["n", "times"], taught, ", ".join(f"{c} binary" for c in _LESSON)))
+    lessons = materialize(by_context(seqs, ["n"], taught, ", ".join(f"{c} binary" for c in _LESSON)))
 
     def summed(of: str, shape: tuple[int, ...]) -> np.ndarray:
         """The sum of what the mixer, as it is now, makes of every lesson."""
@@ -428,12 +427,7 @@ def train(docs: DataFrame, chosen: Column) -> tuple[Model, DataFrame, DataFrame]
     seqs = counts.where("kind = 1").select("key", "n")
     pairs = seqs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     mixer = Mixer(pairs.column("key").to_numpy().view(np.uint64), pairs.column("n").to_numpy().astype(np.float64))
-    # ids first: only the chosen texts are moved
-    rows = id_and_bytes(docs.where(chosen))
-    ids = rows.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    sample = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).drop("id")
-    taken = count_all(sample, F.lit(True), "raw").where("kind = 1").select("key", F.col("n").alias("times"))
-    learn(mixer, seqs.join(taken, "key", "left").select("key", "n", F.coalesce("times", F.lit(0)).cast("long").alias("times")))
+    learn(mixer, seqs)
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bits", pa.float64())])
 
     def each(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,19 @@ def test_language_model_scores_do_not_depend_on_the_broadcast_cut(spark, documen
         assert all(other[d] == pytest.approx(v, rel=1e-9) for d, v in got[0].items())
 
 
+def test_language_model_learns_from_all_training_rows(spark, documents):
+    rows = [(r.doc_id, (r.text or "")[:300], None) for r in documents.limit(800).collect()]
+    texts = [t.encode() for d, t, _ in rows if zlib.crc32(str(d).encode()) % 10]
+    assert len(texts) > 600
+    every = mixing_lm.sequences(texts)[0]
+    keys, counts = np.unique(every, return_counts=True)
+    mixer = mixing_lm.Mixer(keys, counts.astype(np.float32))
+    mixer.learn(every)
+    got = {r.doc_id: r.score for r in mixing_lm.score_documents(table(spark, rows)).collect()}
+    for d, t, _ in rows[:60]:
+        assert got[d] == pytest.approx(-mixer.bits_of(mixing_lm.sequences([t.encode()])[0]).sum() * math.log10(2), rel=1e-6)
+
+
 def test_bits_are_a_distribution():
     texts = [b"the cat sat on the mat", b"the dog sat on the log"] * 20
     keys, counts = np.unique(mixing_lm.sequences(texts)[0], return_counts=True)
