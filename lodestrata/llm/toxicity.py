@@ -204,7 +204,8 @@ class Features:
                 continue
             rows = []
             for sentence in _SENTENCE.split(text.lower()):
-                if any(w in sentence for w in similar) and (hits := [near[w] for w in words_of(sentence) if w in near]):
+                # a spelt-out word is remembered joined, its sentence doesn't hold it
+                if (any(w in sentence for w in similar) or _SPACED.search(sentence)) and (hits := [near[w] for w in words_of(sentence) if w in near]):
                     rows.append(np.max(hits, axis=0))
             # spelt-out words can run over sentence marks
             out.append((n, np.array(rows or [np.max([near[w] for w in similar], axis=0)])))

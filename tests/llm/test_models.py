@@ -221,6 +221,12 @@ def test_inserted_characters_stay_similar():
     assert "idiot" in toxicity.words_of("you i d i o t !")
 
 
+def test_spelt_out_words_count_beside_other_similar_words():
+    tool = toxicity.Features(["idiot", "trashy"])
+    ((_, rows),) = tool.sentences(["The film was a bit trashy. Well, you i d i o t go home. Nothing here."])
+    assert rows.argmax(axis=1).tolist() == [1, 0] and rows.max(axis=1) == pytest.approx(1.0)
+
+
 def test_toxicity_on_held_out_rows(documents, labels):
     got = toxicity.toxicity(documents, labels).join(labels, "doc_id").collect()
     held = [r for r in got if r.held_out]
