@@ -8,7 +8,8 @@
 3. Odd sketch: the samples are folded into a parity bitmap of SKETCH_BITS bits (sample i
    with value v toggles bit h(i, v)). For two sets the population count of the XOR is
    about n/2 (1 - exp(-2d/n)) with d = 2 SAMPLES (1 - J), which is precise where J
-   is high. Pairs whose estimate reaches the threshold less MARGIN are verified on their full sets.
+   is high. Pairs that differ in no more bits than one at the threshold does, but for a chance of MISS,
+   are verified on their full sets.
 4. Links inside a bucket are first sought with its smallest member only.
    Connected components of the verified links are formed by alternating large and small
    stars. Only buckets that still hold several components are compared member
@@ -17,7 +18,7 @@
    and verified complete the components.
 
 A pair at the threshold shares no band with probability below 1e-5 (3e-7 at 0.85) and
-misses the estimate's margin with about 1e-5; farther above, both vanish. Shingles are told apart by 64-bit
+exceeds the sketches' limit with probability below 1e-6 (for ideal samples); farther above, both vanish. Shingles are told apart by 64-bit
 hashes, classes by 128-bit sums over them.
 
 Nothing but a bitmap of fixed size (see ``marked``) reaches the driver.
@@ -48,7 +49,8 @@ BANDS = 32
 #: Most samples in a band key; lower thresholds take fewer (see ``band_rows``).
 MOST_ROWS = 6
 SKETCH_BITS = 2048
-MARGIN = 0.05
+#: Chance that a pair at the threshold has sketches too far apart to be verified.
+MISS = 1e-6
 BLOCK = 4096
 
 _WORDS = SKETCH_BITS // 64
@@ -61,6 +63,26 @@ def most_different_bits(jaccard: float) -> int:
     return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - jaccard) / SKETCH_BITS)))
 
 
+def bits_limit(jaccard: float) -> int:
+    """Least population count of the XOR that a pair of this similarity exceeds with a chance below MISS.
+
+    Exact for ideal samples: as many differ as a binomial draw says, and each that
+    differs toggles two bits at random.
+    """
+    if not 0 < jaccard < 1:
+        return 0 if jaccard >= 1 else SKETCH_BITS
+    odd = np.arange(SKETCH_BITS + 1) / SKETCH_BITS
+    now, above = np.zeros(SKETCH_BITS + 1), np.zeros(SKETCH_BITS + 1)
+    now[0] = 1.0
+    for differ in range(SAMPLES + 1):
+        ways = math.lgamma(SAMPLES + 1) - math.lgamma(differ + 1) - math.lgamma(SAMPLES - differ + 1)
+        above += now * math.exp(ways + differ * math.log(1 - jaccard) + (SAMPLES - differ) * math.log(jaccard))
+        for _ in range(2):
+            up, down = now * (1 - odd), now * odd
+            now = np.append(0.0, up[:-1]) + np.append(down[1:], 0.0)
+    return int(np.flatnonzero(np.cumsum(above[::-1])[::-1] >= MISS)[-1])
+
+
 def minima(hashes: np.ndarray) -> np.ndarray:
     out = np.full(SAMPLES, 2**64 - 1, dtype=np.uint64)
     for k in range(0, len(hashes), 256):
@@ -224,7 +246,7 @@ def _blocks(members: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = LINK_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    bits = most_different_bits(percent / 100 - MARGIN)
+    bits = bits_limit(percent / 100)
     rows = materialize(signatures(docs, size, percent))
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(real.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id")))

@@ -178,3 +178,15 @@ def test_cut_texts_stay_valid(spark):
     # within one document, too, all but the first window of the run of one letter goes
     assert kept[1].endswith("tail") and kept[2].startswith("x") and kept[2].endswith("end") and "�" not in kept[1] + kept[2]
     assert "é" not in kept[2]
+
+
+@pytest.mark.parametrize("jaccard", [0.6, 0.8, 0.85])
+def test_sketch_limit_follows_the_spread_at_the_threshold(jaccard):
+    draw = np.random.default_rng(5)
+    limit = minhash_odd.bits_limit(jaccard)
+    far = []
+    for differ in draw.binomial(minhash_odd.SAMPLES, 1 - jaccard, 20_000):
+        hits = np.bincount(draw.integers(0, minhash_odd.SKETCH_BITS, 2 * differ), minlength=minhash_odd.SKETCH_BITS)
+        far.append(int((hits & 1).sum()))
+    spread = np.std(far)
+    assert max(far) <= limit and 4.5 * spread < limit - np.mean(far) < 5.5 * spread
