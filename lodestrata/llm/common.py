@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import steps
+from ..steps import free, shared_dir  # noqa: F401
+
 #: ASCII white space, the only characters that part words in every contract here.
 BLANKS = b" \t\n\x0b\x0c\r"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 #: Bytes of a batch that Spark hands to Python; texts are long, and the default is 64 MB.
 ARROW_BYTES = "8m"
 
@@ -29,7 +29,9 @@ def ship(spark: SparkSession) -> None:
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
     if getattr(sc, "_lodestrata_sent", False) or not root.is_dir():
         return
-    archive = Path(tempfile.mkdtemp(prefix="lodestrata-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="lodestrata-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))
@@ -70,53 +72,10 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent a temporary folder serves, in local mode only.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._conf.get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    global _local
-    if _local is None:
-        _local = tempfile.mkdtemp(prefix="lodestrata-")
-    return f"file://{_local}"
-
-
-_local: str | None = None
-
-
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a re-computation.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/lodestrata/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df_paths: list[tuple[SparkSession, str]] | None = None) -> None:
-    """Delete materialised steps; registered to run when the driver ends."""
-    todo = _written if df_paths is None else df_paths
-    while todo:
-        spark, path = todo.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM has gone: nothing is left to delete with
-            return
-
-
-atexit.register(release)
+    """Write ``df`` as Parquet in the shared folder and read it back (see ``steps``)."""
+    small_batches(df.sparkSession)
+    return steps.materialize(df)
 
 
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,20 +84,24 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
 
 
-#: Bits of the bitmap that says which ids are wanted.
-FILTER_BITS = 1 << 24
+#: Least and most bits of the bitmap that says which ids are wanted (2 MB to 128 MB).
+FILTER_BITS, MOST_FILTER_BITS = 1 << 24, 1 << 30
 
 
 def marked(docs: DataFrame, ids: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, kinds: str = "doc_id long, raw binary") -> DataFrame:
     """(doc_id, raw) of at least all rows whose id is in ``ids`` (id), or what ``each`` makes of them.
 
-    A bitmap of fixed size goes to the executors, so that a later shuffle leaves
-    out most other texts; with very many ids it lets all pass, which only costs time.
+    A bitmap of eight bits an id, in the limits above, goes to the executors, so that a later shuffle leaves
+    out most other texts; beyond its largest size it lets more pass, which only costs time.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    bits_ = FILTER_BITS
+    wanted_ids = ids.count()
+    while bits_ < min(MOST_FILTER_BITS, 8 * wanted_ids):
+        bits_ *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits_)) + 1
     placed = ids.select(place(F.col("id")).alias("h"))
     parts = placed.groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    bits = np.zeros(bits_ // 8, dtype=np.uint8)
     for r in parts:
         bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
