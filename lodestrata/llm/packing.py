@@ -5,12 +5,13 @@ dealt at random into packing groups of about ``GROUP_PIECES`` pieces (as many
 groups as the input needs), and each group packs its pieces, longest first. A
 group keeps N[g], the number of its open sequences with g free places; a piece
 of length s goes to the open sequence whose gap g >= s makes the sum of all N[g]^2
-smallest, that is the one with the least N[g-s] - N[g] (a closed sequence has no gap
-and counts nothing). A new sequence is opened only if no open one has room.
+smallest (a closed sequence has no gap and counts nothing). A new sequence is one of the choices while there are
+fewer than the pieces need in any case (their tokens over the capacity); from then on one is opened only if no open one has room.
 
 Defined cases: a null text is an empty one and yields the end token alone; ties
-of the sum go to the smallest gap; equal lengths are packed by (doc_id, piece).
-Repeated rows are packed one by one.
+of the sum go to the smallest gap, and to an open sequence before a new one; equal lengths are packed by
+(doc_id, piece), null ids last. Repeated rows are packed one by one. Rows with a null id are packed like all others. A text of
+any length is cut into pieces; an empty table packs into an empty one. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,15 +94,17 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, dtype=np.int64)  # count[0] stays 0: closed sequences don't count
     sequence, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
-    opened = 0
+    opened, least = 0, -(-int(lengths.sum()) // capacity)
     for k, s in enumerate(lengths.tolist()):
-        gaps = count[s:]
-        fits = np.flatnonzero(gaps)
+        fits = np.flatnonzero(count[s:])  # gaps less s, that is the gaps that would be left
+        best = None
         if len(fits):
-            held = gaps[fits]
-            grown = count[fits]  # fits are gaps less s, that is the gaps that would be left
-            change = 2 * (grown - held) + np.where(fits > 0, 2, 1)
-            rest = int(fits[np.argmin(change)])
+            # N[g] falls by one, N[g - s] grows by one unless the sequence is closed
+            change = 2 * (count[fits] - count[fits + s]) + np.where(fits > 0, 2, 1)
+            best = int(np.argmin(change))
+        fresh = 2 * count[capacity - s] + 1 if s < capacity else 0
+        if best is not None and (change[best] <= fresh or opened >= least):
+            rest = int(fits[best])
             gap = rest + s
             b = open_bins[gap].pop()
             count[gap] -= 1
@@ -120,15 +122,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     """``pieces`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``."""
     groups = max(1, -(-pieces.count() // group_pieces))
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        sequence, offset = sum_of_squares(group["length"].to_numpy(), capacity)
-        group = group.assign(sequence_id=group["pack_group"].to_numpy() * (1 << 32) + sequence, offset=offset)
-        return group.drop(columns="pack_group")
+    names = pieces.columns
+
+    def each(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        sequence, offset = sum_of_squares(group.column("length").to_numpy(), capacity)
+        number = group.column("pack_group").to_numpy() * (1 << 32) + sequence
+        return group.select(names).append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("pack_group").applyInPandas(each, kinds)
+    return dealt.groupBy("pack_group").applyInArrow(each, kinds)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
