@@ -23,7 +23,8 @@ run be tried at its start (or where the match before it ended) only.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows are
 handled one by one; proposals that overlap a base span are dropped; without proposals nothing
-is added.
+is added; an empty table gives an empty one; texts and tokens of any length are read whole. ``mask`` keeps
+all columns of the caller, whatever their names and nulls, apart from its own working columns; a null text stays null.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried at all.
 HINTS = {"email": "@[A-Za-z0-9]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-PROPOSAL = r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9][A-Za-z0-9-]{6,62}[A-Za-z0-9](?![A-Za-z0-9-])"
+#: A whole run of letters, digits and inner hyphens of 8 characters or more that holds a digit.
+PROPOSAL = r"(?<![A-Za-z0-9-])(?=[A-Za-z-]*+[0-9])(?=[A-Za-z0-9])[A-Za-z0-9-]{8,}+(?<!-)"
 
 # Cue words of the gazetteer labeler, lower case.
 CUES = "password passwd pwd passphrase token secret key apikey api_key access_key credential bearer ssn passport iban account acct license_no tel phone mobile pin cvv".split()
@@ -101,7 +103,7 @@ def _votes(x: Column, strict: int) -> Column:
     """The labelers' votes on one span."""
     hit, low = x["hit"], F.lower(x["before"])
     shape = (
-        F.when(hit.rlike(r"^AKIA[A-Z0-9]{16}$|^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{16,64}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$|^(?=.*[A-Z])(?=.*[0-9])[A-Z0-9]{16,40}$"), 1)
+        F.when(hit.rlike(r"^AKIA[A-Z0-9]{16}$|^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{16,}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,}$|^(?=.*[A-Z])(?=.*[0-9])[A-Z0-9]{16,}$"), 1)
         .when(hit.rlike(r"^[A-Za-z]+-?[0-9]{1,4}$|^[0-9]{1,4}-[A-Za-z]+$|^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), -1)
         .otherwise(0)
     )
@@ -122,10 +124,11 @@ def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, base spans, proposals with votes), one row per row, plus the ``keep`` columns."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, base spans, proposals with votes), one row per row; ``whole``: plus the row itself, as the struct ``row``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(*(keep or []), F.col(id_col).alias("__id"), text.alias("__text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []
+    out = docs.select(*row, F.col(id_col).alias("__id"), text.alias("__text"))
     for k, kind in enumerate(BASE):
         out = out.withColumn(f"__{kind}", _hits(F.col("__text"), PATTERNS[kind], HINTS[kind], k))
     out = out.withColumn("__more", _hits(F.col("__text"), PROPOSAL, "[0-9]", len(BASE)))
@@ -139,7 +142,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         lambda x: F.struct(x["start"].alias("start"), F.when(x["hit"].rlike("[A-Za-z]"), len(BASE)).otherwise(number).alias("kind"), x["stop"].alias("stop"), _votes(x, -1).alias("votes")),
     )
     base = F.transform("__base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), _votes(x, 1).alias("votes")))
-    return out.select(*(keep or []), F.col("__id").alias("doc_id"), base.alias("base"), proposals.alias("proposals"))
+    return out.select(*(["row"] if whole else []), F.col("__id").alias("doc_id"), base.alias("base"), proposals.alias("proposals"))
 
 
 def pattern_counts(found: DataFrame) -> list[tuple[tuple[int, ...], int, float]]:
@@ -222,10 +225,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets; overlapping spans become one."""
     columns = docs.columns
-    found = materialize(find(docs, keep=[F.col(f"`{c}`") for c in columns if c != "doc_id"]))
+    found = materialize(find(docs, whole=True))
     out = decide(found, learn(found))
+    own = lambda c: F.col(f"row.`{c}`")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(own("text"), F.lit(""))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
@@ -233,5 +237,5 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(new).alias("out"))
 
     done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    masked = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
-    return out.select(*(masked.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns))
+    masked = F.when(F.size("spans") > 0, done).otherwise(own("text"))
+    return out.select(*((masked if c == "text" else own(c)).alias(c) for c in columns))
