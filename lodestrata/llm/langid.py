@@ -1,22 +1,24 @@
 """Language ID: n-gram filters that answer with a bitmask of languages.
 
 Letter n-grams (3 and 4 characters, word borders included) of the training rows
-are counted per language over the whole corpus. A language's n-grams whose share
-of its n-grams is at least ``MIN_SHARE`` enter a bit-sliced Bloom filter: every
-cell holds one bit per language, insertion sets the language's bit in HASHES
-cells, and the AND of a query's cells is the mask of all languages that (may)
-contain it. A text's score for a language is the popcount of that language's bit
-over its n-grams, corrected for the share f of false answers that the fill of the
-language's slice predicts: (hits - f n) / (1 - f). The highest one decides.
-
-Bounds: MIN_SHARE admits at most 1 / MIN_SHARE n-grams per size and language
-whatever the corpus size, so the filter (``CELLS`` cells) has a fixed size and is
-what is sent to the executors.
+are counted per language over the whole corpus. All of them enter a bit-sliced Bloom filter, each under
+the languages in which it is as common as it should be: its share there is at least a ``NOISE``-th
+of its largest share in any language (a foreign word in a text does not teach its language). Every cell of the filter
+holds one bit per language, insertion sets the language's bit in HASHES cells, and the AND of a query's cells is the
+mask of all languages that (may) contain it. A text's score for a language is the popcount of that language's
+bit over its n-grams, corrected for the share f of false answers that the fill of the language's
+slice predicts: (hits - f n) / (1 - f). The highest one decides.
+
+Bounds: the filter has CELLS_PER_GRAM cells for every distinct n-gram, between CELLS and MOST_CELLS. Beyond
+that it fills up further, which the correction for false answers accounts for; no n-gram is left out. The
+executors set the bits; one bitmap per language, whose size the cells fix, comes to the driver and goes out again.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; so is
 every text if no language was learned. A text with letters but no known n-gram
 gets the language with most training n-grams, score 0. Ties go to the language
-first in alphabetical order.
+first in alphabetical order. Repeated rows are counted and predicted each; rows with a null id are
+neither held out nor learnt from; an empty table gives an empty one; texts of any length are read whole, in
+batches. Only ``doc_id``, ``text`` and ``lang`` are read.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, id_remainder, materialize
+from .common import batch_of, free, id_and_bytes, id_remainder, materialize, small_batches
 
 SIZES = (3, 4)
-MIN_SHARE = 1e-5
-CELLS = 1 << 20
+#: How many times rarer than in the language where it is commonest an n-gram may be to count for a language.
+NOISE = 50
+CELLS_PER_GRAM = 16
+CELLS, MOST_CELLS = 1 << 20, 1 << 26
 HASHES = 3
 UNDETERMINED = "und"
 
@@ -85,36 +89,43 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owners)
 
 
+def places(h: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The cells of each n-gram."""
+    step = (h >> np.uint64(40)) | np.uint64(1)
+    return [((h + np.uint64(k) * step) & np.uint64(cells - 1)).astype(np.int64) for k in range(HASHES)]
+
+
 class MaskFilter:
-    """Bloom filter whose answers are bitmasks of languages, 64 to a slice."""
+    """Bloom filter whose answers are bitmasks of languages, 8 to a slice."""
 
     def __init__(self, languages: list[str], cells: int = CELLS):
         self.languages = languages
-        self.cells = np.zeros((max(1, -(-len(languages) // 64)), cells), dtype=np.uint64)
+        self.cells = np.zeros((max(1, -(-len(languages) // 8)), cells), dtype=np.uint8)
         self.commonest = 0
 
-    def places(self, h: np.ndarray) -> list[np.ndarray]:
-        size = np.uint64(self.cells.shape[1])
-        step = (h >> np.uint64(40)) | np.uint64(1)
-        return [((h + np.uint64(k) * step) % size).astype(np.int64) for k in range(HASHES)]
-
     def insert(self, language: int, h: np.ndarray) -> None:
-        bit = np.uint64(1) << np.uint64(language % 64)
-        for at in self.places(h):
-            row = self.cells[language // 64]
+        bit = np.uint8(1 << language % 8)
+        for at in places(h, self.cells.shape[1]):
+            row = self.cells[language // 8]
             row[at] = row[at] | bit  # the same bit for all: repeated places are no loss
 
+    def insert_bitmap(self, language: int, bitmap: np.ndarray) -> None:
+        """Set the cells whose bits are set, lowest first."""
+        self.cells[language // 8] |= np.unpackbits(bitmap, bitorder="little") << np.uint8(language % 8)
+
     def answer(self, h: np.ndarray) -> np.ndarray:
-        """Masks, one row per 64 languages."""
-        places = self.places(h)
-        out = self.cells[:, places[0]]
-        for at in places[1:]:
+        """Masks, one row per 8 languages."""
+        first, *more = places(h, self.cells.shape[1])
+        out = self.cells[:, first]
+        for at in more:
             out = out & self.cells[:, at]
         return out
 
+    def holds(self, masks: np.ndarray, language: int) -> np.ndarray:
+        return (masks[language // 8] >> np.uint8(language % 8)) & np.uint8(1)
+
     def false_share(self) -> np.ndarray:
-        bit = lambda k: (self.cells[k // 64] >> np.uint64(k % 64)) & np.uint64(1)
-        return np.array([bit(k).mean() ** HASHES for k in range(len(self.languages))])
+        return np.array([self.holds(self.cells, k).mean() ** HASHES for k in range(len(self.languages))])
 
     def classify(self, texts: list[str], false: np.ndarray) -> tuple[list[str], list[float]]:
         h, owner = grams(texts)
@@ -124,8 +135,7 @@ class MaskFilter:
         masks = self.answer(h)
         scores = np.empty((len(self.languages), len(texts)))
         for k in range(len(self.languages)):
-            bits = ((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(np.float64)
-            hits = np.bincount(owner, weights=bits, minlength=len(texts))
+            hits = np.bincount(owner, weights=self.holds(masks, k), minlength=len(texts))
             scores[k] = np.maximum(0.0, (hits - false[k] * n) / (1 - false[k]) if false[k] < 1 else 0.0)
         best = scores.argmax(axis=0)
         top = scores.max(axis=0)
@@ -161,22 +171,45 @@ def count_grams(train: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, chosen: Column, min_share: float = MIN_SHARE) -> MaskFilter:
+def filter_cells(grams_: int) -> int:
+    """A power of two, so that equal places come from a mask."""
+    return min(MOST_CELLS, max(CELLS, 1 << (CELLS_PER_GRAM * grams_ - 1).bit_length()))
+
+
+def cell_bitmaps(counts: DataFrame, totals: DataFrame, cells: int, noise: float) -> DataFrame:
+    """(lang, bucket, bitmap) of the cells that each language's n-grams set, 32,768 to a bucket."""
+    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
+    best = shares.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("of"))
+    kept = best.select("gram", F.explode(F.filter("of", lambda x: x["share"] * noise >= F.col("best"))["lang"]).alias("lang"))
+    schema = pa.schema([("lang", pa.string()), ("cell", pa.int64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column(0)
+            for at in places(batch.column(1).to_numpy().view(np.uint64), cells):
+                yield pa.RecordBatch.from_arrays([lang, pa.array(at + 1)], schema=schema)
+
+    placed = kept.select("lang", "gram").mapInArrow(each, "lang string, cell long")
+    bucket, bit = F.expr("bitmap_bucket_number(cell)"), F.expr("bitmap_bit_position(cell)")
+    return placed.select("lang", bucket.alias("bucket"), bit.alias("bit")).groupBy("lang", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def learn(docs: DataFrame, chosen: Column, noise: float = NOISE) -> MaskFilter:
     """The filter of all rows that ``chosen`` admits and that have a language."""
+    small_batches(docs.sparkSession)
     train = docs.where(chosen & F.col("lang").isNotNull()).select("lang", F.col("text").cast("binary").alias("raw"))
     counts = materialize(count_grams(train))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()
-    named = {r["lang"]: r["total"] for r in totals}
-    kept = F.lit(False)
-    for name, total in named.items():
-        kept = kept | ((F.col("lang") == name) & (F.col("n") >= total * min_share))
-    rows = counts.where(kept).select("lang", "gram").toArrow()
-    lang, gram = (rows.column(k).to_numpy() for k in range(2))
+    totals = materialize(counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("grams")))
+    named = {r["lang"]: r for r in totals.collect()}
     names = sorted(named)
-    made = MaskFilter(names)
+    made = MaskFilter(names, filter_cells(max((r["grams"] for r in named.values()), default=0)))
+    bitmaps = {k: np.zeros(made.cells.shape[1] // 8, dtype=np.uint8) for k in names}
+    for r in cell_bitmaps(counts, totals, made.cells.shape[1], noise).toLocalIterator():
+        bitmaps[r["lang"]][(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bitmap"], dtype=np.uint8)
     for k, name in enumerate(names):
-        made.insert(k, gram[lang == name].view(np.uint64))
-    made.commonest = max(range(len(names)), key=lambda k: (named[names[k]], -k), default=0)
+        made.insert_bitmap(k, bitmaps[name])
+    made.commonest = max(range(len(names)), key=lambda k: (named[names[k]]["total"], -k), default=0)
+    free(counts, totals)
     return made
 
 
