@@ -11,23 +11,30 @@ document against the likeliest ones of the others. A document's score is a
 logistic calibration of its highest sentence margin, the sum of its positive
 margins and its length: of a long text one slightly similar word says less.
 
-Speed: the kernel is evaluated once per distinct word and worker, and only for
-landmarks with which the word shares enough letters and a long enough common
-subsequence to reach the floor at all.
+The kernel is evaluated once per distinct word and worker, against all landmarks at once: a word's
+subsequences are looked up among those of the landmarks, which gives its unnormalised kernel with each. The word's own
+kernel, for the normalisation, is at least what its subsequences would have if all differed; only words that
+reach the floor under that bound need the exact one. So no pair that reaches the floor is passed over.
 
 Bounds: landmarks and machine are fitted on at most ``FIT_ROWS`` labelled rows of
-each class, the smallest hashes of doc_id. All rows are scored on their whole text.
+each class, the smallest hashes of doc_id. The machine sees the HARDEST sentences of each; the calibration sees
+the same statistics of all sentences that scoring uses. All rows are scored on their whole text.
 
 Defined cases: null and empty texts have no words and get the score of a
 document without any similar word; with no labelled toxic row every score is 0.
-Copies of one document count once when landmarks are chosen.
+Copies of one document count once when landmarks are chosen. Repeated rows are scored
+each; an empty table gives an empty one; rows with a null id are scored and are not fitted on; texts of any length are
+scored whole. ``keep_clean`` keeps all columns of the caller, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +42,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, id_remainder, resident
+from .common import batch_of, free, id_and_bytes, id_remainder, materialize, resident
+from .shingles import mixed
 
 ORDER = 3
 DECAY = 0.7
-FLOOR = 0.4
-#: Of a landmark's letters, the share that a word must hold, and in order, to be compared.
-LETTER_SHARE = 0.7
+FLOOR = 0.5
 LANDMARKS = 160
-#: A landmark occurs in so many toxic documents that aren't copies, at least.
-LEAST_DOCS = 4
+#: Word sets that share one of these bands of minima count as copies: nine in ten with 70 % in common, one in 10,000 with 20 %.
+COPY_BANDS, COPY_ROWS = 40, 8
+#: Words that may become landmarks by accident, at most (expected number); the machine weighs them.
+CHANCE = 100.0
 FIT_ROWS = 3000
-#: Sentences of a document that the machine is trained on, and those its calibration sees.
+#: Sentences of a document that the machine is trained on, those with the highest similarity.
 HARDEST = 3
-EVIDENCE = 40
 THRESHOLD = 0.3
 #: Longer words are compared in windows of this length, overlapping by half.
 WIDTH = 32
 CACHE_WORDS = 500_000
 
+_FACTORS = np.random.default_rng(5).integers(0, 2**64, COPY_BANDS * COPY_ROWS, dtype=np.uint64) | np.uint64(1)
 _SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]{1,3}\w){3,}(?!\S)")
 _EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 _SENTENCE = re.compile(r"[.!?\n]+\s")
@@ -124,21 +132,11 @@ def _by_length(length: np.ndarray, most: int = 2048) -> Iterator[np.ndarray]:
         yield order[k : k + most]
 
 
-def letter_masks(c: np.ndarray) -> np.ndarray:
-    bits = np.where(c > 0, np.uint64(1) << (c.astype(np.uint64) & np.uint64(63)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
-
-
-def common_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each pair of rows."""
-    best = np.zeros((len(a), b.shape[1] + 1), dtype=np.int16)
-    for i in range(a.shape[1]):
-        new = best.copy()
-        hit = (b == a[:, i : i + 1]) & (b != 0)
-        for j in range(b.shape[1]):
-            new[:, j + 1] = np.maximum(np.maximum(best[:, j + 1], new[:, j]), best[:, j] + hit[:, j])
-        best = new
-    return best[:, -1]
+@cache
+def _subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all subsequences of ORDER of n characters, their weights)."""
+    at = np.array(list(combinations(range(n), ORDER)), dtype=np.int64).reshape(-1, ORDER)
+    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
 
 
 class Features:
@@ -146,12 +144,52 @@ class Features:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = codes(landmarks, WIDTH)[0][:, : max([1, *map(len, landmarks)])] if landmarks else np.zeros((0, 1), dtype=np.int32)
-        self.masks = letter_masks(self.codes)
-        self.letters = np.ceil(LETTER_SHARE * np.bitwise_count(self.masks)).astype(np.int64)
-        self.lengths = np.array([len(x) for x in landmarks], dtype=np.int64)
         self.dull: set[str] = set()
         self.near: dict[str, np.ndarray] = {}
+        self.letters = np.unique(codes(landmarks, WIDTH)[0]) if landmarks else np.zeros(1, dtype=np.int32)
+        names, owners, weights = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for k, word in enumerate(landmarks):
+            at, weight = _subsequences(len(word))
+            names.append(self._names(codes([word], len(word))[0], at)[0])
+            owners.append(np.full(len(at), k))
+            weights.append(weight)
+        name, owner, weight = (np.concatenate(x) for x in (names, owners, weights))
+        # one entry per landmark and subsequence, with the sum of its weights there
+        pair, of = np.unique(np.stack([name, owner]), axis=1, return_inverse=True)
+        self.weight = np.bincount(of.ravel(), weights=weight, minlength=pair.shape[1])
+        self.owner = pair[1]
+        self.known, self.first, self.count = np.unique(pair[0], return_index=True, return_counts=True)
+        self.own = np.bincount(self.owner, weights=self.weight**2, minlength=len(landmarks))
+        self.table = None
+        if len(self.letters) <= 128:
+            self.table = np.full((len(self.letters) + 1) ** ORDER, -1, dtype=np.int32)
+            self.table[self.known] = np.arange(len(self.known))
+
+    def _names(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A number for each subsequence; characters that no landmark has count as one that none has."""
+        place = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
+        letter = np.where(self.letters[place] == c, place, len(self.letters)).astype(np.int64)
+        name = np.zeros((len(c), len(at)), dtype=np.int64)
+        for k in range(ORDER):
+            name = name * (len(self.letters) + 1) + letter[:, at[:, k]]
+        return name
+
+    def kernels(self, c: np.ndarray) -> np.ndarray:
+        """Unnormalised kernel of each row of characters, all of one length, with all landmarks."""
+        at, weight = _subsequences(c.shape[1])
+        name = self._names(c, at).ravel()
+        if self.table is not None:
+            entry = self.table[name]
+        else:
+            entry = np.minimum(np.searchsorted(self.known, name), len(self.known) - 1)
+            entry[self.known[entry] != name] = -1
+        hit = np.flatnonzero(entry >= 0)
+        n = self.count[entry[hit]]
+        each = np.repeat(np.arange(len(hit)), n)
+        of = self.first[entry[hit]][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        row, place = np.divmod(hit[each], len(at))
+        cell = row * len(self.landmarks) + self.owner[of]
+        return np.bincount(cell, weights=weight[place] * self.weight[of], minlength=len(c) * len(self.landmarks)).reshape(len(c), -1)
 
     def learn(self, words: list[str]) -> None:
         units, owner = [], []
@@ -160,8 +198,11 @@ class Features:
                 units.append(w[at : at + WIDTH])
                 owner.append(k)
         hot: dict[int, np.ndarray] = {}
-        for k in range(0, len(units), 8192):
-            self._compare(units[k : k + 8192], owner[k : k + 8192], hot)
+        length = np.array([len(u) for u in units])
+        for n in np.unique(length[length >= ORDER]).tolist() if self.landmarks else ():
+            some, step = np.flatnonzero(length == n), max(1, 2_000_000 // len(_subsequences(n)[0]))
+            for start in range(0, len(some), step):
+                self._compare([units[u] for u in some[start : start + step]], [owner[u] for u in some[start : start + step]], hot)
         for k, w in enumerate(words):
             if k in hot:
                 self.near[w] = hot[k]
@@ -169,23 +210,16 @@ class Features:
                 self.dull.add(w)
 
     def _compare(self, units: list[str], owner: list[int], hot: dict[int, np.ndarray]) -> None:
-        c = codes(units, WIDTH)[0]
-        masks = letter_masks(c)
-        at, to = np.nonzero(np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.letters[None, :])
-        if not len(at):
-            return
-        length = np.array([len(u) for u in units])
-        fits = (length[at] >= LETTER_SHARE * self.lengths[to]) & (length[at] >= ORDER)
-        at, to = at[fits], to[fits]
-        long_enough = np.zeros(len(at), dtype=bool)
-        for some in _by_length(length[at], 16384):
-            part = c[at[some]][:, : length[at[some]].max()]
-            long_enough[some] = common_length(part, self.codes[to[some]]) >= LETTER_SHARE * self.lengths[to[some]]
-        at, to = at[long_enough], to[long_enough]
-        value = normal_kernel(units, self.landmarks, at, to)
-        for k in np.flatnonzero(value >= FLOOR).tolist():
-            row = hot.setdefault(owner[at[k]], np.zeros(len(self.landmarks), dtype=np.float32))
-            row[to[k]] = max(row[to[k]], value[k])
+        """Similarities from FLOOR on of units of one length."""
+        c = codes(units, len(units[0]))[0]
+        value = self.kernels(c) / np.sqrt(self.own)
+        least = np.sqrt((_subsequences(c.shape[1])[1] ** 2).sum())  # the norm if no subsequence occurred twice
+        likely = np.flatnonzero((value >= FLOOR * least).any(axis=1))
+        for some in (likely[k : k + 2048] for k in range(0, len(likely), 2048)):
+            exact = value[some] / np.sqrt(kernel(c[some], c[some]))[:, None]
+            for k, row in zip(some.tolist(), np.where(exact >= FLOOR, exact, 0).astype(np.float32), strict=True):
+                if row.any():
+                    hot[owner[k]] = np.maximum(row, hot.get(owner[k], 0))
 
     def sentences(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
         """Per text, its number of words and one row per sentence that has a similar word."""
@@ -242,7 +276,7 @@ class Machine:
         self.weights, self.bias = self.map @ v[:-1], float(v[-1])
 
     def evidence(self, per_text: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """Per text: highest margin, sum of positive margins, length, 1."""
+        """Per text: highest margin, sum of positive margins, length, 1; from all sentences."""
         out = np.ones((len(per_text), 4))
         for k, (n, rows) in enumerate(per_text):
             margins = self.margin(rows)
@@ -270,10 +304,57 @@ def sample(docs: DataFrame, labels: DataFrame, chosen: Column, fit_rows: int) ->
     return id_and_bytes(docs).join(F.broadcast(picked[0].union(picked[1])), "doc_id")
 
 
+def near_copies(rows: DataFrame) -> dict[int, int]:
+    """Of the fitted rows: a number per row's set of words to the group of near copies that it is in.
+
+    MinHash bands of the word sets, joined by union-find: COPY_BANDS keys of COPY_ROWS minima a row, of at most
+    2 ``FIT_ROWS`` rows.
+    """
+    schema = pa.schema([("key", pa.int64()), ("bands", pa.binary())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [word_set(raw) for raw in batch.column(0).to_pylist()]
+            bands = []
+            for _, h in sets:
+                least = np.full(COPY_BANDS * COPY_ROWS, 2**64 - 1, dtype=np.uint64)
+                for k in range(0, len(h), 4096):
+                    least = np.minimum(least, (h[k : k + 4096, None] * _FACTORS).min(axis=0))
+                bands.append(mixed((mixed(least).reshape(COPY_BANDS, COPY_ROWS) * _FACTORS[:COPY_ROWS]).sum(axis=1, dtype=np.uint64)).tobytes())
+            yield batch_of(schema, {"key": [set_key(h) for _, h in sets], "bands": bands})
+
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    first: dict[tuple[int, int], int] = {}
+    for r in sorted(rows.select("raw").mapInArrow(each, "key long, bands binary").distinct().collect()):
+        parent.setdefault(r["key"], r["key"])
+        for band in enumerate(np.frombuffer(r["bands"], dtype=np.uint64).tolist()):
+            a, b = root(first.setdefault(band, r["key"])), root(r["key"])
+            parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent}
+
+
+def word_set(raw: bytes | None) -> tuple[list[str], np.ndarray]:
+    """(words that can be landmarks, their hashes) of one text."""
+    words = [w for w in words_of((raw or b"").decode("utf-8", "replace")) if ORDER <= len(w) <= WIDTH]
+    return words, np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little") for w in words], dtype=np.uint64)
+
+
+def set_key(hashes: np.ndarray) -> int:
+    return int(mixed(hashes).sum(dtype=np.uint64).view(np.int64))
+
+
 def choose_landmarks(rows: DataFrame, most: int = LANDMARKS) -> list[str]:
-    """Words of toxic documents with the largest smoothed ratio of document counts.
+    """Words that are in more toxic documents than chance gives to any word, those with the smallest chance first.
 
-    Documents with the same smallest word hash count as copies, once.
+    Of the n documents with a word, a share a is toxic; p of all are. n KL(a, p) is the logarithm of how unlikely
+    that is at most (Chernoff's bound), and has to outweigh the number of words that are asked, over CHANCE.
+    Near copies count once, so that one document in many versions makes no landmarks.
     """
     schema = pa.schema([("word", pa.string()), ("toxic", pa.int32()), ("alike", pa.int64())])
 
@@ -281,18 +362,27 @@ def choose_landmarks(rows: DataFrame, most: int = LANDMARKS) -> list[str]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
             for raw, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [w for w in words_of((raw or b"").decode("utf-8", "replace")) if ORDER <= len(w) <= WIDTH]
-                alike = min((zlib.crc32(w.encode()) for w in words), default=0)
+                words, hashes = word_set(raw)
                 out["word"] += words
                 out["toxic"] += [toxic] * len(words)
-                out["alike"] += [alike] * len(words)
+                out["alike"] += [groups[set_key(hashes)]] * len(words)
             yield batch_of(schema, out)
 
-    seen = rows.select("raw", F.col("toxic").cast("int")).mapInArrow(each, "word string, toxic int, alike long").distinct()
-    counts = seen.groupBy("word").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_other"))
-    ratio = F.col("n_toxic") / (F.col("n_other") * 4 + 1)
-    best = counts.where(F.col("n_toxic") >= LEAST_DOCS).where(ratio >= 1).orderBy(ratio.desc(), "word").limit(most)
-    return [r["word"] for r in best.collect()]
+    groups = near_copies(rows)
+    seen = materialize(rows.select("raw", F.col("toxic").cast("int")).mapInArrow(each, "word string, toxic int, alike long").distinct())
+    documents_ = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.countDistinct("alike").alias("n")).collect()}
+    counts = materialize(seen.groupBy("word").agg(F.sum("toxic").alias("n_toxic"), F.count("*").alias("n")))
+    asked, every = counts.count(), sum(documents_.values())
+    if not documents_.get(1):
+        return []
+    p = min(documents_[1] / every, 0.5)
+    share = F.col("n_toxic") / F.col("n")
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    excess = F.col("n") * (part(share, F.lit(p)) + part(1 - share, F.lit(1 - p)))
+    best = counts.where(share > p).where(excess >= math.log(asked / CHANCE)).orderBy(excess.desc(), "word").limit(most)
+    out = [r["word"] for r in best.collect()]
+    free(seen, counts)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, chosen: Column, fit_rows: int = FIT_ROWS) -> Machine:
@@ -301,26 +391,34 @@ def fit(docs: DataFrame, labels: DataFrame, chosen: Column, fit_rows: int = FIT_
     machine = Machine(landmarks)
     if not landmarks:
         return machine
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("n", pa.int64()), ("sentences", pa.binary())])
+    rows = materialize(rows.select("doc_id", "raw", F.col("toxic").cast("int")))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = features(landmarks)
-        for batch in (part for whole in batches for part in slices(whole)):
-            per_text = tool.sentences([(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()])
-            hardest = [x[np.argsort(-x.max(axis=1), kind="stable")[:EVIDENCE]].astype(np.float32).tobytes() if len(x) else b"" for _, x in per_text]
-            yield batch_of(schema, {"doc_id": batch.column(0).to_pylist(), "toxic": batch.column(2).to_pylist(), "n": [n for n, _ in per_text], "sentences": hardest})
-
-    kinds = "doc_id long, toxic int, n long, sentences binary"
-    found = rows.select("doc_id", "raw", F.col("toxic").cast("int")).mapInArrow(each, kinds).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    toxic = found.column("toxic").to_numpy().astype(bool)
-    per_text = [(n, np.frombuffer(x, dtype=np.float32).reshape(-1, len(landmarks))) for n, x in zip(found.column("n").to_pylist(), found.column("sentences").to_pylist(), strict=True)]
+    def of_all(make: Callable[[list[tuple[int, np.ndarray]]], list[bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """What ``make`` makes of every fitted row, in a defined order, and its label."""
+        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("made", pa.binary())])
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tool = features(landmarks)
+            for batch in (part for whole in batches for part in slices(whole)):
+                made = make(tool.sentences([(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()]))
+                yield batch_of(schema, {"doc_id": batch.column(0), "toxic": batch.column(2), "made": made})
+
+        found = rows.mapInArrow(each, "doc_id long, toxic int, made binary").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("made", "ascending")])
+        return found.column("made").to_pylist(), found.column("toxic").to_numpy().astype(bool)
+
+    def hardest(per_text: list[tuple[int, np.ndarray]]) -> list[bytes]:
+        return [x[np.argsort(-x.max(axis=1), kind="stable")[:HARDEST]].astype(np.float32).tobytes() if len(x) else b"" for _, x in per_text]
+
+    found, toxic = of_all(hardest)
     vectors, marks = [], []
-    for (_, x), t in zip(per_text, toxic, strict=True):
-        take = x[: 1 if t else HARDEST]
+    for raw, t in zip(found, toxic, strict=True):
+        take = np.frombuffer(raw, dtype=np.float32).reshape(-1, len(landmarks))[: 1 if t else HARDEST]
         vectors += list(take) if len(take) else [np.zeros(len(landmarks), dtype=np.float32)]
         marks += [t] * max(1, len(take))
     machine.train(np.array(vectors), np.array(marks))
-    machine.calibrate(machine.evidence(per_text), toxic)
+    found, toxic = of_all(lambda per_text: [x.tobytes() for x in machine.evidence(per_text)])
+    machine.calibrate(np.array([np.frombuffer(x) for x in found]), toxic)
+    free(rows)
     return machine
 
 

@@ -185,6 +185,25 @@ def test_masking_keeps_columns_and_rest(spark):
     assert out.count() == 4 and pii.mask(table(spark, rows).limit(0)).count() == 0
 
 
+def test_masking_with_clashing_names_and_odd_rows(spark):
+    names = ["base", "proposals", "spans", "row", "__text", "__id", "votes"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(1, "a@b.org", *names), (None, "1.2.3.4", *[None] * len(names)), (2, None, *names), (3, "", *names), (4, "x a@b.org " * 20000, *names), (1, "a@b.org", *names)]
+    out = pii.mask(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", *names]
+    got = sorted(map(tuple, out.collect()), key=repr)
+    texts = {"a@b.org": "[EMAIL]", "1.2.3.4": "[IP]", None: None, "": "", "x a@b.org " * 20000: "x [EMAIL] " * 20000}
+    assert got == sorted(((r[0], texts[r[1]], *r[2:]) for r in rows), key=repr)
+    assert pii.mask(spark.createDataFrame([], schema)).columns == ["doc_id", "text", *names]
+
+
+def test_long_keys_are_proposed(spark, documents):
+    key = hashlib.sha512(b"x").hexdigest()
+    rows = [(r.doc_id, r.text, None) for r in documents.limit(400).collect()] + [(900000, f"the password={key} is here", None)]
+    spans = {r.doc_id: r.spans for r in pii.personal_data(table(spark, rows)).where("doc_id = 900000").collect()}[900000]
+    assert f"secret:13:{13 + len(key)}" in spans.split(",")
+
+
 def test_main_path_is_native(spark):
     plan = pii.personal_data(table(spark, [(1, "a@b.c password=cf56f5256e617c382b", None)]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -221,6 +240,32 @@ def test_inserted_characters_stay_similar():
     assert "idiot" in toxicity.words_of("you i d i o t !")
 
 
+def test_features_equal_the_kernel_of_every_pair():
+    """No pair from the floor on is passed over: all pairs of random and altered words against the definition."""
+    draw = random.Random(8)
+    landmarks = ["stupid", "worthless", "garbage", "idiot", "réeuxment", "日本語日"]
+    words = {"".join(draw.choice(m) if draw.random() < 0.25 else c for c in m if draw.random() > 0.12) + draw.choice(["", "s", "x9"]) for m in landmarks for _ in range(150)}
+    words |= {"upid", "lothles", "arba", "ab", "", "s-t-u-p-i-d", "st" * 16, "퟿本日語"}
+    tool = toxicity.Features(landmarks)
+    tool.learn(sorted(words))
+    for w in words:
+        own = brute_kernel(w, w, toxicity.ORDER, toxicity.DECAY)
+        want = [brute_kernel(w, m, toxicity.ORDER, toxicity.DECAY) / math.sqrt(own * brute_kernel(m, m, toxicity.ORDER, toxicity.DECAY)) if own else 0.0 for m in landmarks]
+        want = [v if v >= toxicity.FLOOR else 0.0 for v in want]
+        assert tool.near.get(w, np.zeros(len(landmarks))) == pytest.approx(want, abs=1e-5)
+        assert (w in tool.near) == any(want) and (w in tool.dull) != any(want)
+
+
+def test_copies_of_one_document_make_no_landmarks(spark):
+    draw = random.Random(3)
+    some = lambda: " ".join(f"word{draw.randrange(4000)}" for _ in range(30))
+    rows = [(k, f"villain {some()}" if k % 2 else f"{' '.join(f'copied{j}' for j in range(40))} end{k}", None) for k in range(80)]
+    rows += [(1000 + k, some(), None) for k in range(200)]
+    fitted = table(spark, rows).select("doc_id", F.col("text").cast("binary").alias("raw"), F.when(F.col("doc_id") < 1000, 1).otherwise(0).alias("toxic"))
+    found = toxicity.choose_landmarks(fitted)
+    assert "villain" in found and not any(w.startswith("copied") for w in found)
+
+
 def test_spelt_out_words_count_beside_other_similar_words():
     tool = toxicity.Features(["idiot", "trashy"])
     ((_, rows),) = tool.sentences(["The film was a bit trashy. Well, you i d i o t go home. Nothing here."])
@@ -259,6 +304,61 @@ def test_language_odd_rows(spark, documents):
     assert langid.identify(table(spark, ODD).limit(0)).count() == 0
 
 
+def brute_grams(text):
+    """All windows of 3 and 4 of the lower-case words, each with a border on both sides, that have no border inside."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    out = []
+    for n in langid.SIZES:
+        line = " " + " ".join(letters.split()) + " " if letters.split() else " "
+        out += [line[k : k + n] for k in range(len(line) - n + 1) if " " not in line[k + 1 : k + n - 1] and line[k : k + n].strip()]
+    return out
+
+
+def test_language_answers_equal_brute_force(spark, documents):
+    """Exact sets in place of the filter: masks, counts and the choice agree; the filter adds only its false answers."""
+    draw = random.Random(4)
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.limit(250).collect()]
+    rows += [(900000 + k, " ".join(draw.choice(["haus", "maison", "casa", "zz", "é"]) for _ in range(draw.randint(1, 4))), None) for k in range(40)]
+    counts, held = {}, lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    for d, t, lang in rows:
+        if lang and not held(d):
+            counts.setdefault(lang, Counter()).update(brute_grams(t))
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = Counter()
+    for s in share.values():
+        for g, v in s.items():
+            best[g] = max(best[g], v)
+    known = {lang: {g for g, v in s.items() if v * langid.NOISE >= best[g]} for lang, s in share.items()}
+    names = sorted(counts)
+    common = max(names, key=lambda x: (sum(counts[x].values()), -names.index(x)))
+    got = {r.doc_id: r for r in langid.identify(table(spark, rows)).collect()}
+    for d, t, _ in rows:
+        grams = brute_grams(t)
+        hits = [sum(g in known[x] for g in grams) for x in names]
+        if not grams:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        top = max(hits)
+        assert got[d].score == pytest.approx(top / len(grams), abs=2e-3)
+        if sorted(hits)[-1] > sorted([-1, *hits])[-2] or not top:
+            assert got[d].lang_pred == (names[hits.index(top)] if top else common)
+
+
+def test_crowded_filter_is_corrected():
+    """With most cells taken, hits less the false share still name the language."""
+    rng = np.random.default_rng(3)
+    made = langid.MaskFilter(["a", "b"], cells=1 << 12)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(700)]
+    own = [langid.grams([" ".join(words[k::2])])[0] for k in (0, 1)]
+    for k, h in enumerate(own):
+        made.insert(k, h)
+    assert made.false_share().min() > 0.05
+    named, score = made.classify([" ".join(words[k::2][:200]) for k in (0, 1)], made.false_share())
+    assert named == ["a", "b"] and min(score) > 0.95
+    stranger = made.classify(["zyxwv uvwxy qrstu vwxyz " * 50], made.false_share())[1][0]
+    assert stranger < 0.2
+
+
 def test_mask_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     made = langid.MaskFilter([f"l{k}" for k in range(70)], cells=1 << 14)
@@ -266,7 +366,7 @@ def test_mask_filter_has_no_false_negatives():
     for k, h in sets.items():
         made.insert(k, h)
     for k, h in sets.items():
-        assert ((made.answer(h)[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).all()
+        assert made.holds(made.answer(h), k).all()
     other = rng.integers(0, 2**63, 20000, dtype=np.uint64)
-    seen = ((made.answer(other)[0] >> np.uint64(3)) & np.uint64(1)).mean()
+    seen = made.holds(made.answer(other), 3).mean()
     assert abs(seen - made.false_share()[3]) < 0.01

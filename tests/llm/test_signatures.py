@@ -174,8 +174,37 @@ def test_packing_needs_hardly_more_than_the_least(spark):
     assert used <= 1.01 * sum(lengths) / 4096 + 4
 
 
-def test_sum_of_squares_choice():
-    # two open sequences with 3 free, one with 5: a piece of 3 closes one of the two
-    sequence, offset = packing.sum_of_squares(np.array([7, 7, 5, 3]), 10)
-    assert sequence.tolist()[:3] == [0, 1, 2] and sequence[3] in (0, 1)
-    assert offset.tolist() == [0, 0, 0, 7]
+def brute_choice(lengths, capacity):
+    """Every choice tried, the sum of squares counted anew each time; (gap left, opened) of every step."""
+    gaps, opened, steps, least = [], 0, [], -(-sum(lengths) // capacity)
+    energy = lambda some: sum(some.count(g) ** 2 for g in set(some) if g)
+    for s in lengths:
+        choices = []
+        for gap in sorted({g for g in gaps if g >= s}):
+            after = gaps.copy()
+            after.remove(gap)
+            choices.append((energy([*after, gap - s]), 0, gap, [*after, gap - s]))
+        if opened < least or not choices:
+            choices.append((energy([*gaps, capacity - s]), 1, capacity, [*gaps, capacity - s]))
+        _, fresh, gap, gaps = min(choices, key=lambda c: c[:3])
+        opened += fresh
+        steps.append((gap, opened))
+    return steps
+
+
+@pytest.mark.parametrize("capacity", [10, 23])
+def test_every_step_makes_the_sum_of_squares_smallest(capacity):
+    draw = random.Random(capacity)
+    for _ in range(60):
+        lengths = [draw.randint(1, capacity) for _ in range(draw.randint(1, 40))]
+        if draw.random() < 0.5:
+            lengths.sort(reverse=True)
+        sequence, offset = packing.sum_of_squares(np.array(lengths), capacity)
+        opened = np.maximum.accumulate(sequence) + 1
+        assert [(capacity - o, n) for o, n in zip(offset.tolist(), opened.tolist(), strict=True)] == brute_choice(lengths, capacity)
+
+
+def test_large_ids_stay_whole_beside_nulls(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, 2**63 - 1, None]
+    df = spark.createDataFrame([(d, 0, 5) for d in ids], "doc_id long, piece int, length long").withColumns({"start": F.lit(0).cast("long"), "ids_crc32": F.lit(0).cast("long")})
+    assert sorted((r.doc_id or 0) for r in packing.pack(df).collect()) == sorted(d or 0 for d in ids)
