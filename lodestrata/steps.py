@@ -10,8 +10,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,7 @@ _local: str | None = None
 #: Path of every step that still exists, with the file system and path objects that delete it.
 _written: dict[str, tuple[object, object]] = {}
 _kept: dict[tuple[str, ...], DataFrame] = {}
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +49,8 @@ def new_path(spark: SparkSession) -> str:
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(sc._jsc.hadoopConfiguration())
     _written[path] = (files, where)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     return path
 
 
@@ -73,6 +78,30 @@ def free(*steps: DataFrame) -> None:
             _delete(step._step)
 
 
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Steps that this thread writes inside are deleted at the end, but for those given to the function that this yields."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    mine: list[str] = []
+    kept: set[str] = set()
+
+    def keep(step: DataFrame) -> DataFrame:
+        kept.add(step._step)
+        return step
+
+    _scopes.open.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.open.pop()
+        if _scopes.open:
+            _scopes.open[-1].extend(p for p in mine if p in kept)
+        for path in mine:
+            if path not in kept and path in _written:
+                _delete(path)
+
+
 def existing() -> list[str]:
     """Paths of the steps that haven't been deleted."""
     return list(_written)
