@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import steps
-from ..steps import free, shared_dir  # noqa: F401
+from ..steps import free, scope, shared_dir  # noqa: F401
 
 #: ASCII white space, the only characters that part words in every contract here.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -78,6 +78,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return steps.materialize(df)
 
 
+def condensed(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns as one step; all steps written on the way are deleted."""
+    with scope() as keep:
+        return keep(materialize(make()))
+
+
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text as UTF-8 bytes), nothing else: other columns can't clash."""
     small_batches(docs.sparkSession)

@@ -10,23 +10,27 @@ such a string.
 2. Rows meet by the anchor's hash. Equal segments (by hash, 64 bits beside the
    anchor's 64) repeat each other as a whole; all but the first are repeats. Each
    task first settles its own rows in that way, so that a passage in very many
-   documents sends one row per batch.
+   documents sends one row per batch. Hot anchors, those in very many rows, are told from the
+   counts of a fixed number of cells over one document in SAMPLE; their rows meet by anchor and segment instead,
+   so no task holds all of them, and equal segments are folded as they stream by. The counts choose the
+   way only, never a result.
 3. Different segments with one anchor can share some of their windows only. Those
    that share a core (what all windows of a quarter of the anchor's places have in
    common) are fetched as bytes, the anchor written as one symbol, and sorted
    by the linear suffix sorter; equal windows are then neighbours in the suffix array,
-   and all but the first are repeats. An anchor with more than HOT such segments (the edge of
-   a passage in very many documents) is dealt into blocks of about that many; what each
+   and all but the first are repeats. An anchor with more than HOT such segments, or a hot one (the edge of
+   a passage in very many documents), is dealt into blocks of about that many; what each
    block's sort leaves, its distinct windows, meets by the window's hash, added up before the exchange.
 4. The repeated windows of a document are joined into maximal runs and cut out.
 
-Only a bitmap of fixed size is sent to the executors; nothing else but rows by hash and by
+Only the cells' counts and a bitmap, of limited size, are sent to the executors; nothing else but rows by hash and by
 document is exchanged.
 
 Defined cases: null texts are empty; texts shorter than LENGTH lose nothing; rows with
 a null id are read by themselves and lose nothing; rows that repeat a doc_id are
-read as one place: their equal windows at equal starts don't repeat each other, and what one of them
-loses the others lose at the same places.
+read as one place, different texts included: their equal windows at equal starts don't repeat each other, and what one of them
+loses the others lose at the same places; an empty table gives an empty one; long texts are read in overlapping
+pieces, whole. Only ``doc_id`` and ``text`` are read; ``without_repeats`` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,11 +40,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
-from .common import batch_of, id_and_bytes, marked, materialize, resident
+from .common import batch_of, condensed, free, id_and_bytes, marked, materialize, resident
 from .shingles import mixed
 from .suffix_sort import suffix_array
 
@@ -52,6 +57,8 @@ PARTS = 8
 PIECE = 1 << 19
 #: Segments of one anchor that are sorted together.
 HOT = 512
+#: Documents of which one is looked at for hot anchors, cells that count them, and rows from which an anchor is hot.
+SAMPLE, CELLS, HOT_ROWS = 16, 1 << 20, 4096
 #: Symbols that are sorted at a time, unless one anchor's segments have more.
 SORT_SYMBOLS = 1 << 14
 
@@ -76,6 +83,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
+def gram_hashes(grams: list[bytes]) -> np.ndarray:
+    """As ``segments`` hashes them."""
+    data = np.frombuffer(b"".join(grams), dtype=np.uint8).reshape(-1, GRAM).astype(np.uint64) + np.uint64(1)
+    return mixed((data * powers(_BASE, GRAM)[:GRAM]).sum(axis=1, dtype=np.uint64))
+
+
 def segments(raw: bytes) -> tuple[np.ndarray, ...] | None:
     """(anchor hash, segment hash, first window, windows, anchor's place, core codes) of one piece."""
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -114,7 +127,7 @@ def segments(raw: bytes) -> tuple[np.ndarray, ...] | None:
 
 #: A segment's row: anchor hash, segment hash, document, first window with the anchor's place and the number of windows, core codes.
 #: A negative place is a run of repeats: -1 - first window, with the number of windows in the second column.
-_ROW = pa.schema([(c, pa.int64()) for c in ("h", "seg", "doc", "pos", "near", "far")])
+_ROW = pa.schema([(c, pa.int64()) for c in ("meet", "h", "seg", "doc", "pos", "near", "far")])
 
 
 def _runs(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -132,7 +145,39 @@ def _later(new: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (doc != doc[leader]) | (first != first[leader])
 
 
-def segment_rows(docs: DataFrame) -> DataFrame:
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+
+
+def hot_anchors(docs: DataFrame, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> np.ndarray:
+    """Per cell of anchors: the rows to expect of a hot one, 0 for all others.
+
+    A cell is hot if it has ``hot_rows`` rows and 8 times the mean, so that at most an eighth of the cells are, at any size.
+    """
+    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
+        seen = np.zeros(CELLS, dtype=np.int64)
+        for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
+            for raw in batch.column(1).to_pylist():
+                for at in range(0, max(0, len(raw or b"") - LENGTH + 1), PIECE):
+                    seen += np.bincount(_cell(segments(raw[at : at + PIECE + LENGTH - 1])[0]), minlength=CELLS)
+        found = np.flatnonzero(seen)
+        yield batch_of(schema, {"cell": found, "n": seen[found]})
+
+    some = id_and_bytes(docs).where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0)
+    counts = some.mapInArrow(each, "cell long, n long").groupBy("cell").agg((F.sum("n") * sample).alias("n"))
+    counts = materialize(counts)
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / CELLS
+    out = np.zeros(CELLS, dtype=np.int64)
+    found = counts.where(F.col("n") >= max(hot_rows, 8 * mean)).toArrow()
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    free(counts)
+    return out
+
+
+def segment_rows(docs: DataFrame, hot_cells: Broadcast) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident()
         for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
@@ -153,8 +198,11 @@ def segment_rows(docs: DataFrame) -> DataFrame:
             pos = (first << 14) | (place << 7) | count
             near, far = codes[~again].view(np.int64).T
             none = np.zeros(len(run_doc), dtype=np.int64)
+            meet = np.where(hot_cells.value[_cell(h)] > 0, mixed(h + seg * np.uint64(_BASE)), h)[~again].view(np.int64)
+            anywhere = mixed(mixed(run_doc.view(np.uint64)) + run_first.astype(np.uint64)).view(np.int64)
             yield batch_of(_ROW, {
-                "h": np.concatenate([h[~again].view(np.int64), mixed(mixed(run_doc.view(np.uint64)) + run_first.astype(np.uint64)).view(np.int64)]),
+                "meet": np.concatenate([meet, anywhere]),
+                "h": np.concatenate([h[~again].view(np.int64), anywhere]),
                 "seg": np.concatenate([seg[~again].view(np.int64), run_count]),
                 "doc": np.concatenate([doc[~again], run_doc]),
                 "pos": np.concatenate([pos[~again], -1 - run_first]),
@@ -166,7 +214,7 @@ def segment_rows(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(each, ", ".join(f"{c} long" for c in _ROW.names))
 
 
-def _settle(hot: int, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.ndarray, near: np.ndarray, far: np.ndarray) -> dict:
+def _settle(hot: int, hot_cells: np.ndarray, _: np.ndarray, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.ndarray, near: np.ndarray, far: np.ndarray) -> dict:
     """Rows of whole anchors, sorted: repeats of whole segments, and segments to be sorted by bytes."""
     run = pos < 0
     out = [(np.zeros(run.sum(), dtype=np.int64), doc[run], -1 - pos[run], seg[run], h[run], h[run])]
@@ -177,18 +225,21 @@ def _settle(hot: int, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.n
         later = _later(new, doc, pos >> 14)
         out.append((np.zeros(later.sum(), dtype=np.int64), doc[later], pos[later] >> 14, pos[later] & 127, h[later], h[later]))
         group = (np.cumsum(new_h) - 1)[new]
-        several = np.bincount(group)[group] > 1
-        group, h, doc, pos = group[several], h[new][several], doc[new][several], pos[new][several]
+        rows = hot_cells[_cell(h[new])]
+        several = (np.bincount(group)[group] > 1) | (rows > 0)
+        group, h, doc, pos, rows = group[several], h[new][several], doc[new][several], pos[new][several], rows[several]
         codes = np.ascontiguousarray(codes[new][several]).view(np.uint16).reshape(-1, PARTS).astype(np.int64)
         parts = np.zeros(len(h), dtype=np.int64)
         for k in range(PARTS):
             _, which, n = np.unique(group << 16 | codes[:, k], return_inverse=True, return_counts=True)
-            parts |= ((n[which] > 1) & (codes[:, k] > 0)).astype(np.int64) << k
+            # of a hot anchor this task knows some segments only: any part may be shared
+            parts |= (((n[which] > 1) | (rows > 0)) & (codes[:, k] > 0)).astype(np.int64) << k
         some = parts > 0
         first, place, count = pos[some] >> 14, (pos[some] >> 7) & 127, pos[some] & 127
         doc, anchor = doc[some], h[some]
         _, which, n = np.unique(anchor, return_inverse=True, return_counts=True)
-        blocks = -(-n // hot)[which]
+        # a hot anchor has several blocks in any case: its segments are in other tasks too
+        blocks = np.where(rows[some] > 0, np.maximum(2, -(-rows[some] // hot)), -(-n // hot)[which])
         block = mixed(mixed(doc.view(np.uint64)) + first.astype(np.uint64)) % blocks.astype(np.uint64)
         key = np.where(blocks > 1, mixed(anchor.view(np.uint64) + block * np.uint64(_BASE)).view(np.int64), anchor)
         # kind: 1 and above it the parts, the anchor's place, the number of windows, and whether there are several blocks
@@ -199,11 +250,12 @@ def _settle(hot: int, h: np.ndarray, seg: np.ndarray, doc: np.ndarray, pos: np.n
 _SETTLED = pa.schema([(c, pa.int64()) for c in ("kind", "doc", "first", "count", "h", "anchor")])
 
 
-def settled(rows: DataFrame, hot: int = HOT) -> DataFrame:
+def settled(rows: DataFrame, hot_cells: Broadcast, hot: int = HOT, most: int = 1 << 18) -> DataFrame:
     """(kind 0: repeats doc, first, count; kind 1: segments to compare by bytes)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        settle = lambda parts: batch_of(_SETTLED, _settle(hot, hot_cells.value, *(np.concatenate(x) for x in zip(*parts, strict=True))))
         for batch in batches:
             columns = tuple(batch.column(k).to_numpy() for k in range(len(_ROW)))
             if not len(columns[0]):
@@ -212,14 +264,21 @@ def settled(rows: DataFrame, hot: int = HOT) -> DataFrame:
             if held and held[-1][0][-1] != columns[0][0] or len(change):
                 cut = change[-1] + 1 if len(change) else 0
                 whole = [tuple(c[:cut] for c in columns)] if cut else []
-                yield batch_of(_SETTLED, _settle(hot, *(np.concatenate(x) for x in zip(*held, *whole, strict=True))))
+                yield settle([*held, *whole])
                 held = [tuple(c[cut:] for c in columns)]
             else:
                 held.append(columns)
+                if sum(len(c[0]) for c in held) > most and hot_cells.value[_cell(held[0][1][:1])][0]:
+                    # one segment of a hot anchor: all rows but the first are repeats of it, and are let go
+                    h, doc, pos = (np.concatenate([c[k] for c in held]) for k in (1, 3, 4))
+                    later = _later(np.arange(len(doc)) == 0, doc, pos >> 14)
+                    zero = np.zeros(int(later.sum()), dtype=np.int64)
+                    yield batch_of(_SETTLED, dict(zip(_SETTLED.names, (zero, doc[later], pos[later] >> 14, pos[later] & 127, h[later], h[later]), strict=True)))
+                    held = [tuple(c[:1] for c in held[0])]
         if held:
-            yield batch_of(_SETTLED, _settle(hot, *(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield settle(held)
 
-    ordered = rows.repartition("h").sortWithinPartitions("h", "seg", "doc", "pos")
+    ordered = rows.repartition("meet").sortWithinPartitions("meet", "h", "seg", "doc", "pos")
     return ordered.mapInArrow(each, ", ".join(f"{c} long" for c in _SETTLED.names))
 
 
@@ -232,18 +291,24 @@ def strings(docs: DataFrame, segments_: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
-            out: dict[str, list] = {f.name: [] for f in _STRING}
+            found, grams = [], []
             lists = batch.column(2)
             for k, (key, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                raw = raw or b""
                 for x in lists[k].as_py():
                     kind, first = x["kind"], x["first"]
                     parts, place, count = (kind >> 1) & 255, (kind >> 9) & 127, (kind >> 16) & 127
+                    if first + count - 1 + LENGTH > len(raw):
+                        continue  # the place of another row with this id
                     ends = [PLACES[q] for q in range(PARTS) if parts >> q & 1]
                     start = first + max(0, place - ends[-1][1])
                     stop = first + min(count, place - ends[0][0] + 1)
-                    values = (x["h"], x["anchor"], kind >> 24, key, start, place - (start - first), stop - start, raw[start : stop - 1 + LENGTH])
-                    for name, value in zip(out, values, strict=True):
-                        out[name].append(value)
+                    found.append((x["h"], x["anchor"], kind >> 24, key, start, place - (start - first), stop - start, raw[start : stop - 1 + LENGTH]))
+                    grams.append(raw[first + place : first + place + GRAM])
+            # a row with the same id and another text may have another anchor there
+            same = gram_hashes(grams) == np.array([x[1] for x in found], dtype=np.int64).view(np.uint64)
+            found = [x for x, s in zip(found, same.tolist(), strict=True) if s]
+            out = {f.name: [x[k] for x in found] for k, f in enumerate(_STRING)}
             yield batch_of(_STRING, out)
 
     texts = marked(docs, segments_.select(F.col("doc").alias("id")).distinct())
@@ -325,9 +390,10 @@ def sorted_repeats(rows: DataFrame) -> DataFrame:
     return found.where("count > 0").select("doc", "first", "count").union(again)
 
 
-def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, hot: int = HOT, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(doc, runs): per document the runs of repeated windows as (first, count)."""
-    known = materialize(settled(segment_rows(docs), hot))
+    hot_cells = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, hot_rows, sample))
+    known = materialize(settled(segment_rows(docs, hot_cells), hot_cells, hot))
     whole = known.where("kind = 0").select("doc", "first", "count")
     partial = sorted_repeats(strings(docs, known.where("kind <> 0")))
     runs = materialize(whole.union(partial))
@@ -346,9 +412,9 @@ def kept_and_runs(raw: bytes, runs: list[dict] | None) -> tuple[np.ndarray, int]
     return ~gone, int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
 
 
-def cut(docs: DataFrame, make: Callable[[bytes, np.ndarray, int], tuple], schema: pa.Schema, kinds: str, hot: int = HOT) -> DataFrame:
+def cut(docs: DataFrame, make: Callable[[bytes, np.ndarray, int], tuple], schema: pa.Schema, kinds: str, **how: int) -> DataFrame:
     """``make(raw, kept, n_spans)`` of every document that loses bytes, with its doc_id."""
-    found = materialize(repeats(docs, hot))
+    found = condensed(lambda: repeats(docs, **how))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 3 << 20)):
@@ -368,14 +434,14 @@ def cut(docs: DataFrame, make: Callable[[bytes, np.ndarray, int], tuple], schema
 _CUT = pa.schema([("doc_id", pa.int64()), ("was_sha256", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, **how: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
     def make(raw: bytes, kept: np.ndarray, spans: int) -> tuple:
         rest = np.frombuffer(raw, dtype=np.uint8)[kept].tobytes()
         return hashlib.sha256(raw).hexdigest(), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest()
 
-    lost = cut(docs, make, _CUT, "doc_id long, was_sha256 string, n_removed long, n_spans long, kept_sha256 string", hot).dropDuplicates(["doc_id", "was_sha256"])
+    lost = cut(docs, make, _CUT, "doc_id long, was_sha256 string, n_removed long, n_spans long, kept_sha256 string", **how).dropDuplicates(["doc_id", "was_sha256"])
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     every = docs.select("doc_id", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("was_sha256"))
     zero = F.lit(0).cast("long")
@@ -402,7 +468,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return hashlib.sha256(raw).hexdigest(), data[whole[character]].tobytes().decode("utf-8", "replace")
 
     lost = cut(docs, make, _TEXT, "doc_id long, was_sha256 string, kept_text string").dropDuplicates(["doc_id", "was_sha256"])
-    lost = lost.select(F.col("doc_id").alias("__id"), F.col("was_sha256").alias("__was"), F.col("kept_text").alias("__kept"))
-    was = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
-    joined = docs.join(lost, (docs["doc_id"] == lost["__id"]) & (was == lost["__was"]), "left")
-    return joined.select(*(F.coalesce("__kept", "text").alias("text") if c == "text" else docs[c] for c in docs.columns))
+    lost = lost.select(F.col("doc_id").alias("id"), F.col("was_sha256").alias("was"), F.col("kept_text").alias("kept"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("now"))
+    joined = rows.join(lost, (F.col("row.doc_id") == F.col("id")) & (F.col("now") == F.col("was")), "left")
+    own = lambda c: F.col(f"row.`{c}`")
+    return joined.select(*((F.coalesce("kept", own("text")) if c == "text" else own(c)).alias(c) for c in docs.columns))

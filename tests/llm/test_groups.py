@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import minhash_odd, suffix_dedup
 from lodestrata.llm.shingles import shingle_sets
@@ -146,10 +147,46 @@ def test_blocks_of_hot_anchors_lose_no_repeat(spark, hot):
     draw = random.Random(hot)
     passage = "".join(draw.choice("abcdefgh ") for _ in range(130))
     rows = repeating(4) + [(2000 + k, "".join(draw.choice("xy") for _ in range(draw.randint(0, 4))) + passage + "".join(draw.choice("xy") for _ in range(draw.randint(0, 4)))) for k in range(60)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table(spark, rows), hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table(spark, rows), hot=hot).collect()}
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize(("hot_rows", "sample"), [(1, 1), (5, 1), (20, 3)])
+def test_a_line_in_all_rows_is_dealt_to_many_tasks(spark, hot_rows, sample):
+    draw = random.Random(hot_rows)
+    line = "".join(draw.choice("abcdefgh ") for _ in range(210))
+    rows = [(k, f"{''.join(draw.choice('xyz') for _ in range(90))}{line}{''.join(draw.choice('uvw') for _ in range(90))}") for k in range(120)]
+    rows += [(40000 + d, t) for d, t in repeating(7)[70:]]
+    rows += [(5000, line), (5001, line[3:]), (5002, "x" * 3000)]
+    docs = table(spark, rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, hot=4, hot_rows=hot_rows, sample=sample).collect()}
+    assert got == brute_repeats(rows)
+    cells = docs.sparkSession.sparkContext.broadcast(suffix_dedup.hot_anchors(docs, hot_rows, 1))
+    assert (cells.value > 0).any()
+    # the segments at the line's edges all have one anchor; none of their meeting places holds more than a few
+    found = suffix_dedup.segment_rows(docs, cells)
+    hottest = found.where("pos >= 0").groupBy("h").count().orderBy(F.desc("count")).first()
+    assert hottest["count"] >= 100
+    assert found.where(F.col("h") == hottest["h"]).groupBy("meet").count().agg(F.max("count")).first()[0] <= 8
+
+
+def test_different_texts_with_one_id(spark):
+    draw = random.Random(11)
+    rows = repeating(5)
+    again = [(d, "".join(draw.choice("abc") for _ in range(draw.randint(0, 200))) + (t or "")[: draw.randint(0, 300)]) for d, t in rows]
+    out = suffix_dedup.remove_repeats(table(spark, rows + again), hot=2, hot_rows=1, sample=1).collect()
+    assert len(out) == 2 * len(rows) and all(0 <= r.n_removed <= r.n_bytes for r in out)
+
+
+def test_streamed_rows_of_one_segment_are_folded(spark):
+    line = "".join(random.Random(2).choice("abcdefgh") for _ in range(150))
+    docs = table(spark, [(k, line) for k in range(300)])
+    cells = spark.sparkContext.broadcast(np.full(suffix_dedup.CELLS, 9, dtype=np.int64))
+    segments = suffix_dedup.segment_rows(docs.repartition(40), cells)
+    whole, folded = (sorted(map(tuple, suffix_dedup.settled(segments, cells, most=n).where("kind = 0").select("doc", "first", "count").collect())) for n in (1 << 18, 2))
+    assert whole == folded and {d for d, _, _ in whole} == set(range(1, 300))
+
+
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     rows = repeating(9)
     whole = brute_repeats(rows)
