@@ -1,4 +1,7 @@
-"""The thin queries that apply each operator to its whole table."""
+"""The thin queries that apply each operator to its whole table.
+
+Operators that write steps on the way are condensed: their result is one step, all others are deleted.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_chunks, iforest, langid, media, minhash_odd, mixing_lm, packing, pii, suffix_dedup, toxicity
-from .common import documents, labels
+from .common import condensed, documents, labels
 
 
 def op1_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_odd.near_duplicates(documents(spark, sf_dir))
+    return condensed(lambda: minhash_odd.near_duplicates(documents(spark, sf_dir)))
 
 
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_lm.score_documents(documents(spark, sf_dir))
+    return condensed(lambda: mixing_lm.score_documents(documents(spark, sf_dir)))
 
 
 def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +25,7 @@ def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(documents(spark, sf_dir))
+    return condensed(lambda: pii.personal_data(documents(spark, sf_dir)))
 
 
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +37,11 @@ def op6_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return condensed(lambda: packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op8_lyndon_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return condensed(lambda: suffix_dedup.remove_repeats(documents(spark, sf_dir)))
 
 
 def op9_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
