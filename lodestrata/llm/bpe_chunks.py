@@ -2,26 +2,28 @@
 
 A rolling hash over the bytes picks chunk ends from content alone, so a passage
 that many documents share is cut alike in all of them and its chunks are encoded
-once per worker. A chunk's ids hold in any surroundings only between its
-outermost *agreed* cuts: a cut before a single space between two visible
-characters is a pre-token boundary whatever stands around it, because no
-alternative of the byte-level pattern runs from a visible character into a space,
-none looks behind, and no special token holds a space. So each chunk keeps the
-ids between its first and its last agreed cut, and the window over each join,
-from the last agreed cut before it to the first one after it, is re-encoded.
-Where a chunk has no agreed cut the window grows over it and on into the next,
-so the result always equals encoding the whole text. A chunk that isn't known is
-put together from units, the stretches between its agreed cuts, which are
-remembered too.
-
-Memory: the caches of chunks and units are emptied whenever they are full; that
-changes speed only. Null text: as an empty one (no ids).
+once per worker process, each as a whole and by the library. What a chunk's ids are near its ends depends on what
+stands beyond them, so every join of two chunks is repaired: the window from REACH *cuts* before the join to REACH cuts behind
+it is encoded, too, and its ids must agree with those of both chunks, token by token, between its outermost two
+cuts on either side. Then the chunk's ids are taken up to the inner cut, the window's from there on.
+Where they do not agree the window is made GROWTH times longer, and at last the whole text is encoded.
+
+A cut is the place of a single space between two visible characters. No alternative of the byte-level pattern runs from a visible
+character into a space, none looks behind, and no special token holds a space, so it is a pre-token boundary
+whatever stands around it. This holds for byte-level tokenizers of the usual pattern only; the file is checked for that, and with any other
+file every text is encoded whole. A chunk end that hasn't enough cuts on both sides is passed over.
+
+Memory: the cache of chunks and windows is emptied whenever it is full; that
+changes speed only. Defined cases: a null text is as an empty one (no ids); invalid bytes count as replacement characters; repeated rows
+and rows with a null id are encoded each; an empty table gives an empty one; texts of any length are encoded whole. Only the id and the text
+are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batch_of, id_and_bytes, resident
-from .units import UnitCache
 
 CACHE_BYTES = 64 << 20
 #: A chunk ends where so many low bits of the rolling hash are 0: 1024 bytes on average.
 CHUNK_BITS = 10
 WINDOW = 16
+#: Cuts that the window over a join reaches to on each side, and how much farther it reaches where that gives no agreement.
+REACH, GROWTH = 2, 4
 
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 _VISIBLE = np.zeros(256, dtype=bool)
@@ -62,69 +65,145 @@ def agreed_cuts(data: np.ndarray) -> np.ndarray:
     return space[(_VISIBLE[before] | latin) & (_VISIBLE[after] | (after == _LATIN))]
 
 
-def parts_of(data: np.ndarray) -> list[tuple[int, int]]:
-    """Cut one text into alternating joins and chunk cores that can be encoded apart."""
+def chunk_bounds(data: np.ndarray, cuts: np.ndarray) -> list[int]:
+    """0, the chunk ends inside one text that have 2 REACH cuts on both sides of their own, and its length."""
     n = len(data)
-    if n < 2 * WINDOW:
-        return [(0, n)] if n else []
-    cuts = agreed_cuts(data)
+    if len(cuts) < 4 * REACH:
+        return [0, n]
     ends = chunk_ends(data)
-    ends = ends[(ends >= WINDOW) & (ends < n)]
-    if not len(cuts) or not len(ends):
-        return [(0, n)]
-    after = np.searchsorted(cuts, ends)  # first cut at or after each end
-    before = np.searchsorted(cuts, ends, side="right") - 1
-    left = np.where(before >= 0, cuts[np.maximum(before, 0)], 0)
-    right = np.where(after < len(cuts), cuts[np.minimum(after, len(cuts) - 1)], n)
-    edges = np.unique(np.concatenate([[0], left, right, [n]]))
-    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+    ends = ends[(ends >= WINDOW) & (ends < n - 2)]
+    ends = ends[(data[ends] & 0xC0) != 0x80]  # between characters
+    before = np.searchsorted(cuts, ends - 3, side="right")  # cuts with both neighbours before the end
+    after = np.searchsorted(cuts, ends + 3)  # first cut with both neighbours behind it
+    out, held = [0], 0
+    for end, low, high in zip(ends.tolist(), before.tolist(), after.tolist(), strict=True):
+        if low - held >= 2 * REACH and len(cuts) - high >= 2 * REACH:
+            out.append(end)
+            held = high
+    return [*out, n]
 
 
-class ChunkCodec(UnitCache):
-    """Encoder and decoder of one tokenizer file, with its caches."""
+class ChunkCodec:
+    """Encoder and decoder of one tokenizer file, with its cache."""
 
     def __init__(self, path: str):
-        super().__init__(path)
-        from tokenizers import Tokenizer, pre_tokenizers
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-        self.chunks: dict[bytes, bytes] = {}
-        self.held = 0
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.pieces = token_bytes(spec)
-        self.newline = self.pieces.index(b"\n")
-        self.light = Tokenizer(self.tokenizer.model)
-        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-
-    def encode_plain(self, units: list[bytes]) -> list[bytes]:
-        """Units of one pre-token, without line ends, parted by line ends."""
-        ids = np.array(self.light.encode_batch_fast([b"\n".join(units).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(ids == self.newline) * 4
-        packed = ids.tobytes()
-        return [packed[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(packed)], strict=True)]
+        self.cuttable = has_cuts(spec)
+        self.pieces = token_bytes(spec) if self.cuttable else []
+        self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        self.known: dict[bytes, np.ndarray] = {}
+        self.held = 0
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Encode the ``parts`` that aren't known."""
+        new = [p for p in parts if p not in self.known]
+        for start in range(0, len(new), 4096):
+            some = new[start : start + 4096]
+            for p, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                self.known[p] = ids = np.array(found.ids, dtype="<u4")
+                self.held += len(p) + ids.nbytes + 250
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where each token starts, in bytes, and where the last one ends."""
+        return np.append(0, np.cumsum(self.lengths[ids]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if self.held > CACHE_BYTES:
-            self.chunks, self.held = {}, 0
-        chunks = self.chunks
-        parts = [[raw[a:b] for a, b in parts_of(np.frombuffer(raw, dtype=np.uint8))] for raw in texts]
-        new = {p for row in parts for p in row if p not in chunks}
-        units = {}
-        for p in new:
-            cuts = [0, *agreed_cuts(np.frombuffer(p, dtype=np.uint8)).tolist(), len(p)]
-            units[p] = [p[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.learn(set().union(*units.values()))
-        get = self.known.__getitem__
-        for p, some in units.items():
-            chunks[p] = ids = b"".join(map(get, some))
-            self.held += len(p) + len(ids) + 120
-        return [b"".join([chunks[p] for p in row]) for row in parts]
+            self.known, self.held = {}, 0
+        texts = [raw.decode("utf-8", "replace").encode() for raw in texts]
+        data = [np.frombuffer(raw, dtype=np.uint8) for raw in texts]
+        cuts = [agreed_cuts(d) if self.cuttable else np.zeros(0, dtype=np.int64) for d in data]
+        bounds = [chunk_bounds(d, c) for d, c in zip(data, cuts, strict=True)]
+        chunks = [[raw[a:b] for a, b in zip(at, at[1:], strict=False)] for raw, at in zip(texts, bounds, strict=True)]
+        reach = [[REACH] * (len(at) - 2) for at in bounds]
+        windows = [[self.window(c, at, k, REACH) for k in range(1, len(at) - 1)] for c, at in zip(cuts, bounds, strict=True)]
+        self.learn({raw[w[0] : w[-1]] for raw, of in zip(texts, windows, strict=True) for w in of}.union(*chunks))
+        out = []
+        for k, raw in enumerate(texts):
+            joined = self.joined(raw, cuts[k], bounds[k], chunks[k], windows[k], reach[k])
+            if joined is None:
+                joined = np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4")
+            out.append(joined.tobytes())
+        return out
+
+    @staticmethod
+    def window(cuts: np.ndarray, at: list[int], k: int, reach: int) -> tuple[int, int, int, int] | None:
+        """(outer cut, inner cut, inner cut, outer cut) around the k-th bound; None if a chunk hasn't so many."""
+        low, high = int(np.searchsorted(cuts, at[k] - 3, side="right")), int(np.searchsorted(cuts, at[k] + 3))
+        first, last = int(np.searchsorted(cuts, at[k - 1] + 3)), int(np.searchsorted(cuts, at[k + 1] - 3, side="right"))
+        if low - reach < first or high + reach > last:
+            return None
+        return int(cuts[low - reach]), int(cuts[low - 1]), int(cuts[high]), int(cuts[high + reach - 1])
+
+    def joined(self, raw: bytes, cuts: np.ndarray, at: list[int], chunks: list[bytes], windows: list[tuple], reach: list[int]) -> np.ndarray | None:
+        """The ids of a text from its chunks' and windows', or None if some join never agrees."""
+        parts, from_token = [], 0
+        ids = self.known[chunks[0]]
+        if len(chunks) == 1:
+            return ids
+        place = self.places(ids)
+        for k in range(1, len(at) - 1):
+            after = self.known[chunks[k]]
+            after_place = self.places(after)
+            window, wide = windows[k - 1], reach[k - 1]
+            while True:
+                if window is None:
+                    return None
+                found = self.agreement(raw, window, ids, place, at[k - 1], after, after_place, at[k])
+                if found:
+                    break
+                wide *= GROWTH
+                window = self.window(cuts, at, k, wide)
+            to_token, between, next_token = found
+            if to_token < from_token:
+                return None  # the windows of two joins overlap
+            parts += [ids[from_token:to_token], between]
+            ids, place, from_token = after, after_place, next_token
+        return np.concatenate([*parts, ids[from_token:]])
+
+    def agreement(self, raw: bytes, window: tuple, ids: np.ndarray, place: np.ndarray, start: int, after: np.ndarray, after_place: np.ndarray, join: int) -> tuple[int, np.ndarray, int] | None:
+        """(tokens of the chunk before the window's inner part, that part's ids, first token of the next chunk behind it)."""
+        outer, inner, next_inner, next_outer = window
+        self.learn({raw[outer:next_outer]})
+        own = self.known[raw[outer:next_outer]]
+        own_place = self.places(own)
+
+        def between(where: np.ndarray, low: int, high: int) -> tuple[int, int] | None:
+            a, b = np.searchsorted(where, (low, high)).tolist()
+            return (a, b) if b < len(where) and where[a] == low and where[b] == high else None
+
+        left, own_left = between(place, outer - start, inner - start), between(own_place, 0, inner - outer)
+        right, own_right = between(after_place, next_inner - join, next_outer - join), between(own_place, next_inner - outer, next_outer - outer)
+        if None in (left, own_left, right, own_right):
+            return None
+        if not np.array_equal(ids[slice(*left)], own[slice(*own_left)]) or not np.array_equal(after[slice(*right)], own[slice(*own_right)]):
+            return None
+        return left[1], own[own_left[1] : own_right[0]], right[0]
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode with special tokens kept."""
+        numbers = np.frombuffer(ids, dtype="<u4").tolist()
+        if not self.cuttable:
+            return self.tokenizer.decode(numbers, skip_special_tokens=False)
         pieces = self.pieces
-        return b"".join([pieces[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join([pieces[i] for i in numbers]).decode("utf-8", "replace")
+
+
+def has_cuts(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind whose pre-tokens always end before a space between visible characters."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
+    whole = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("byte_fallback")
+    decoded = (spec.get("decoder") or {}).get("type") == "ByteLevel"
+    return plain and whole and decoded and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
 
 
 def token_bytes(spec: dict) -> list[bytes]:

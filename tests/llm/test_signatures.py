@@ -111,9 +111,56 @@ def test_chunked_encoding_equals_the_library():
 
 def test_chunks_are_cut_alike_in_different_texts():
     passage = " ".join(f"word{k} other{k * 7 % 13}" for k in range(3000)).encode()
-    cut = lambda raw: {raw[a:b] for a, b in bpe_chunks.parts_of(np.frombuffer(raw, dtype=np.uint8))}
+
+    def cut(raw):
+        data = np.frombuffer(raw, dtype=np.uint8)
+        at = bpe_chunks.chunk_bounds(data, bpe_chunks.agreed_cuts(data))
+        return {raw[a:b] for a, b in zip(at, at[1:], strict=False)}
+
     one, two = cut(b"Some lead. " + passage + b" tail"), cut(b"Another, longer lead " * 9 + passage)
-    assert sum(len(p) for p in one & two) > 0.8 * len(passage)
+    assert sum(len(p) for p in one & two) > 0.8 * len(passage) and len(one) > 20
+
+
+def test_chunk_joins_are_repaired(monkeypatch):
+    """With very short chunks most words at joins are cut; the library's ids come out all the same, mostly without encoding a text whole."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(bpe_chunks, "CHUNK_BITS", 5)
+    monkeypatch.setattr(bpe_chunks.chunk_ends, "__defaults__", (5,))
+    tool, library = bpe_chunks.ChunkCodec(path), Tokenizer.from_file(path)
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["straightforward", "don't", "naïve", "x" * 30, "日本", "<|endoftext|>", "1234567", "a", "  b", "c\n"]) for _ in range(400)) for _ in range(30)]
+    whole = []
+    encode = tool.tokenizer.encode
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(library, name)
+        def encode(self, *a, **k):
+            whole.append(1)
+            return encode(*a, **k)
+    tool.tokenizer = Spy()
+    for text, ids in zip(texts, tool.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    data = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts]
+    assert sum(len(bpe_chunks.chunk_bounds(d, bpe_chunks.agreed_cuts(d))) - 2 for d in data) > 300
+    assert len(whole) <= 3
+
+
+def test_disagreeing_joins_are_encoded_whole(monkeypatch):
+    """Where the cuts were no boundaries of pre-tokens, agreement fails and the text is encoded whole."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool, library = bpe_chunks.ChunkCodec(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe_chunks, "agreed_cuts", lambda data: np.arange(4, len(data) - 4, 5))
+    text = " ".join(f"unbelievable{k}" for k in range(2000))
+    assert np.frombuffer(tool.encode([text.encode()])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_are_not_cut():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool, library = bpe_chunks.ChunkCodec(path), Tokenizer.from_file(path)
+    text = "Some words, and more of them. " * 300
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert not tool.cuttable and np.frombuffer(tool.encode([text.encode()])[0], dtype="<u4").tolist() == ids
+    assert tool.decode(np.array(ids, dtype="<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_encoding_query_on_odd_rows(docs, spark):
