@@ -179,7 +179,8 @@ def test_different_texts_with_one_id(spark):
 
 
 def test_streamed_rows_of_one_segment_are_folded(spark):
-    line = "".join(random.Random(2).choice("abcdefgh") for _ in range(150))
+    draw = random.Random(2)
+    line = "".join(draw.choice("abcdefgh") for _ in range(150))
     docs = table(spark, [(k, line) for k in range(300)])
     cells = spark.sparkContext.broadcast(np.full(suffix_dedup.CELLS, 9, dtype=np.int64))
     segments = suffix_dedup.segment_rows(docs.repartition(40), cells)
