@@ -13,9 +13,9 @@ Nothing in a bit's probability depends on more than ORDER + 1 bytes, so it is
 evaluated once per distinct byte sequence of that length of the corpus and looked up for all others.
 
 What is gathered: counts of all words and of all byte sequences of the training rows, by key. The tree
-and orders 0 and 1 come from the at most 2^16 pairs of bytes. Sequences that share the two bytes
-before their last meet in one task, where orders 2 to ORDER are summed over all of them, without a
-cut. Words and sequences with a share of at least MIN_SHARE (so at most 1 / MIN_SHARE of each) go to the
+and orders 0 to LOW come from the at most 2^24 triples of bytes, as counts per context and node. Sequences that share the three bytes
+before their last meet in one task, where the orders above are summed over all of them, without a
+cut; that leaves three bytes of a sequence, so a group has at most 2^24 rows at any corpus size. Words and sequences with a share of at least MIN_SHARE (so at most 1 / MIN_SHARE of each) go to the
 executors with their counts or bits, to be looked up on the spot; all others are joined with theirs by
 key. The share decides the way of the lookup only, no score.
 
@@ -23,7 +23,10 @@ Mixing weights and map are learnt from all training rows, by sums over the count
 own occurrence taken off the counts: PASSES of Newton's steps to the weights on summed gradients,
 then one pass for the map. Only those sums, of fixed size, reach the driver.
 
-Defined cases: null texts are empty: an end sign alone; repeated rows are scored each; with no
+``score`` is of the text in that spelling, as the contract's tokens are; white space and the case of A-Z don't count.
+
+Defined cases: null texts are empty: an end sign alone; repeated rows are scored each; an empty table gives an empty one; texts
+of any length are scored whole, and counted in batches; with no
 training rows every count is 0 and all bits have probability 1/2; null ids are not held out and
 not trained on.
 """
@@ -44,6 +47,8 @@ from .common import batch_of, id_and_bytes, id_remainder, materialize, resident,
 from .shingles import mixed, word_hashes
 
 ORDER = 5
+#: Highest order whose counts every task holds.
+LOW = 2
 MIN_SHARE = 2.0**-21
 #: Newton's steps to the mixing weights.
 PASSES = 4
@@ -53,6 +58,8 @@ MAP_CONTEXTS, MAP_STEPS = 1024, 24
 END = 10
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: The bytes of a context by which sequences meet.
+_PLACE = (1 << (8 * LOW + 8)) - 1
 
 
 def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,20 +149,19 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """The tree, the counts of the two lowest orders, gated weights and the refining map."""
+    """The tree, the counts of the orders up to LOW, gated weights and the refining map."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        """From byte sequences, of which only the last two bytes are used here, and how often each occurs."""
+        """From byte sequences, of which only the last LOW + 1 bytes are used here, and how often each occurs."""
         self.keys, self.counts = keys, counts
-        pairs = np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), weights=counts, minlength=1 << 16)
-        self.length, self.nodes, self.bits = huffman(pairs.reshape(256, 256).sum(axis=0))
-        used = np.flatnonzero(pairs)
-        at, _, node, bit = self.paths(used & 255)
-        self.low = np.zeros((2, 2, 1 << 16))  # order, outcome, context and node
-        for order, place in ((0, node), (1, (used[at] >> 8 << 8) | node)):
-            for outcome in (0, 1):
-                some = bit == outcome
-                self.low[order, outcome] = np.bincount(place[some], weights=pairs[used[at[some]]], minlength=1 << 16)
+        some, of = np.unique(keys & np.uint64((1 << (8 * LOW + 8)) - 1), return_inverse=True)
+        n, some = np.bincount(of, weights=counts, minlength=len(some)), some.astype(np.int64)
+        self.length, self.nodes, self.bits = huffman(np.bincount(some & 255, weights=n, minlength=256))
+        at, _, node, bit = self.paths(some & 255)
+        self.low = []  # per order: contexts with their nodes, and how often each outcome was seen there
+        for order in range(LOW + 1):
+            place, of = np.unique((some[at] >> 8 & (1 << (8 * order)) - 1) << 8 | node, return_inverse=True)
+            self.low.append((place, *(np.bincount(of, weights=n[at] * (bit == outcome), minlength=len(place)) for outcome in (0, 1))))
         gates = 2 * (ORDER + 1)
         self.weights = np.full((gates, ORDER + 2), 0.0)
         for g in range(gates):
@@ -173,10 +179,10 @@ class Mixer:
     def seen(self, keys: np.ndarray, counts: np.ndarray, most: int = 1 << 15) -> Iterator[tuple]:
         """For parts of the distinct ``keys``: (slice, row, node, bit, counts of 0 per order, counts of 1).
 
-        All counted sequences that share the last two bytes of a context with one of the keys must be among them.
+        All counted sequences that share the last LOW + 1 bytes of a context with one of the keys must be among them.
         """
         high = []
-        for order in range(2, ORDER + 1):
+        for order in range(LOW + 1, ORDER + 1):
             some, of = np.unique(keys & np.uint64((1 << (8 * order + 8)) - 1), return_inverse=True)
             n = np.bincount(of, weights=counts, minlength=len(some))
             byte = (some & np.uint64(255)).astype(np.int64)
@@ -188,9 +194,15 @@ class Mixer:
         for start in range(0, len(keys), most):
             part = keys[start : start + most]
             at, depth, node, bit = self.paths((part & np.uint64(255)).astype(np.int64))
-            context = ((part >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
-            low = (node, (context[at] << 8) | node)
-            found = [[self.low[k, outcome][low[k]] for k in (0, 1)] for outcome in (0, 1)]
+            found = [[], []]
+            for order, (place, *both) in enumerate(self.low):
+                context = (part >> np.uint64(8)).astype(np.int64) & ((1 << (8 * order)) - 1)
+                # steps of one path are few, but rows of one context are many: look up each once
+                wanted, which = np.unique(context[at] << 8 | node, return_inverse=True)
+                slot = np.minimum(np.searchsorted(place, wanted), max(0, len(place) - 1))
+                hit = place[slot] == wanted if len(place) else np.zeros(len(wanted), dtype=bool)
+                for outcome in (0, 1):
+                    found[outcome].append(np.where(hit, both[outcome][slot] if len(place) else 0.0, 0.0)[which])
             for of, first, slot, both in high:
                 place = slot[first[of[start : start + most]][at] + depth]
                 for outcome in (0, 1):
@@ -353,7 +365,7 @@ class Model:
 
 
 def by_context(seqs: DataFrame, columns: list[str], each: Callable[..., Iterator[pa.RecordBatch]], kinds: str, least: int = 1 << 16) -> DataFrame:
-    """What ``each`` makes of the arrays of (key, *columns), all sequences that share the last two bytes of the context together."""
+    """What ``each`` makes of the arrays of (key, *columns), all sequences that share the last LOW + 1 bytes of the context together."""
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident()
@@ -367,17 +379,17 @@ def by_context(seqs: DataFrame, columns: list[str], each: Callable[..., Iterator
         for batch in batches:
             key, *more = (batch.column(c).to_numpy() for c in range(1 + len(columns)))
             key = key.view(np.uint64)
-            place = (key >> np.uint64(8)) & np.uint64(0xFFFF)
+            place = (key >> np.uint64(8)) & np.uint64(_PLACE)
             cut = np.flatnonzero(place[1:] != place[:-1]) + 1
             for start, stop in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
                 if start == stop:
                     continue
-                if held and sum(len(h[0]) for h in held) >= least and ((held[-1][0][-1] >> np.uint64(8)) & np.uint64(0xFFFF)) != place[start]:
+                if held and sum(len(h[0]) for h in held) >= least and ((held[-1][0][-1] >> np.uint64(8)) & np.uint64(_PLACE)) != place[start]:
                     yield from flush()
                 held.append([c[start:stop] for c in (key, *more)])
         yield from flush()
 
-    place = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))
+    place = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(_PLACE))
     return seqs.select("key", *columns, place.alias("place")).repartition("place").sortWithinPartitions("place", "key").mapInArrow(grouped, kinds)
 
 
@@ -425,8 +437,9 @@ def train(docs: DataFrame, chosen: Column) -> tuple[Model, DataFrame, DataFrame]
     (words, distinct), (bytes_, _), (ends, _) = (totals.get(k, (0, 0)) for k in range(3))
     often = counts.where("kind = 0").where(F.col("n") >= words * MIN_SHARE).toArrow()
     seqs = counts.where("kind = 1").select("key", "n")
-    pairs = seqs.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    mixer = Mixer(pairs.column("key").to_numpy().view(np.uint64), pairs.column("n").to_numpy().astype(np.float64))
+    triples = seqs.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(_PLACE)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    mixer = Mixer(triples.column("key").to_numpy().view(np.uint64), triples.column("n").to_numpy().astype(np.float64))
+    mixer.keys = mixer.counts = None  # not sent to the tasks
     learn(mixer, seqs)
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bits", pa.float64())])
 
