@@ -19,7 +19,10 @@ def empty_to_default(text: Column, kind: str) -> Column:
 
 
 def number_list(text: Column, most: int = 65535) -> Column:
-    """``[1|2| x |3]`` as an array: items that are no number in range are left out, order and repeats stay."""
+    """``[1|2| x |3]`` as an array: items that are no number in range are left out, order and repeats stay.
+
+    White space outside the brackets doesn't count: `` [1|2] `` has both numbers.
+    """
     inner = F.btrim(trimmed(F.coalesce(text, F.lit(""))), F.lit("[]"))
     items = F.transform(F.split(inner, r"\|", -1), lambda x: trimmed(x).try_cast("int"))
     return F.filter(items, lambda v: v.between(0, most))

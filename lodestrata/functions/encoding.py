@@ -19,6 +19,20 @@ def zigzag(value: Column) -> Column:
     return F.shiftleft(v, 1).bitwiseXOR(F.shiftright(v, 63))
 
 
+def from_unsigned(value: Column) -> Column:
+    """An unsigned 64-bit value, kept as decimal(20,0), as the bigint with the same bits. Others are an error."""
+    v = value.cast("decimal(20,0)")
+    fits = (v >= 0) & (v < F.lit(str(1 << 64)).cast("decimal(20,0)"))
+    code = F.when(v >= F.lit(str(1 << 63)).cast("decimal(20,0)"), v - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(v).cast("bigint")
+    return F.when(v.isNull() | fits, code).otherwise(F.raise_error(F.lit("not an unsigned 64-bit value")).cast("bigint"))
+
+
+def to_unsigned(code: Column) -> Column:
+    """The way back: decimal(20,0) from 0 to 2^64 - 1."""
+    c = code.cast("decimal(20,0)")
+    return F.when(c < 0, c + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(c).cast("decimal(20,0)")
+
+
 def unzigzag(code: Column) -> Column:
     c = code.cast("bigint")
     return F.shiftrightunsigned(c, 1).bitwiseXOR(-c.bitwiseAND(F.lit(1).cast("bigint")))

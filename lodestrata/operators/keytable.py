@@ -28,7 +28,9 @@ def bucket_histogram(table: DataFrame, key: str, kind: str = "u64") -> DataFrame
 
 
 def write(table: DataFrame, name: str, key: str = "id", buckets: int = 8) -> None:
-    """As a bucketed, sorted table: a lookup reads the buckets of its ids only."""
+    """As a bucketed, sorted table: a lookup reads the buckets of its ids only. No rows are an error."""
+    if table.isEmpty():
+        raise ValueError("no rows to write")
     table.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 

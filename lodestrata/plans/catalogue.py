@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bitpack as bp
 from ..functions import coerce as co
 from ..functions import encoding as en
 from ..functions import text as tx
 from ..operators import catindex, keytable, pages, postings
 from ..operators.ordered import Ordered
 from ..operators.project import FieldSpec, TableSpec, merge, project
+from ..operators.store import ColumnStore
 from ..sources import container
 from ..sources.ingest import Source, coerce
+from ..steps import at_exit, existing, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +29,11 @@ def _spec(*fields: FieldSpec) -> TableSpec:
 ORDERS = _spec(FieldSpec("o_orderkey", rename="order_id"), FieldSpec("o_custkey", rename="customer_id"), FieldSpec("o_orderstatus", skip=True), FieldSpec("o_totalprice", rename="total"))
 CUSTOMERS = _spec(FieldSpec("c_custkey", rename="id"), FieldSpec("c_name", encoder="string"), FieldSpec("c_nationkey", rename="nation"), FieldSpec("c_acctbal", skip=True), FieldSpec("c_mktsegment", encoder="string"))
 
+ORDER_PAGES = _spec(FieldSpec("o_orderkey"), FieldSpec("o_custkey"))
+BOOKS = _spec(FieldSpec("doc_id"), FieldSpec("text", encoder="string", index=True, index_type="doc_index"))
+
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+LINES = _spec(*(FieldSpec(c) for c in LINE_ORDER), *(FieldSpec(c, encoder="string", index=True, index_type="categorical") for c in ("l_returnflag", "l_linestatus")))
 PAGE_ROWS = 1000
 PHRASE = ["the", "the"]
 WANTED = [7, 3, 999_999_999, 7, 42, -1, 11]
@@ -79,6 +86,19 @@ def pair_struct(spark, sf_dir):
     return pairs.groupBy("l_linenumber").agg(F.count("*").alias("n"), a.alias("a_width"), b.alias("b_width"), F.sum("p.a").alias("a_sum"), F.sum("p.b").alias("b_sum"))
 
 
+_stores: dict[tuple[str, ...], ColumnStore] = {}
+
+
+def _stored(spark, sf_dir, table: str, spec: TableSpec, order: list[str]) -> ColumnStore:
+    """The table's store: written when a query of this application first asks for it, read by all later ones."""
+    key = (spark.sparkContext.applicationId, sf_dir, table)
+    if key not in _stores or _stores[key].base not in existing():
+        path = new_path(spark)
+        _stores[key] = ColumnStore(spark, spec, path).write(_table(spark, sf_dir, table), order, PAGE_ROWS)
+        at_exit(path)
+    return _stores[key]
+
+
 def _paged_orders(spark, sf_dir):
     return pages.paged(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], PAGE_ROWS)
 
@@ -89,7 +109,7 @@ def page_stats(spark, sf_dir):
 
 def page_skip_scan(spark, sf_dir):
     keep = (F.col("max_value") >= 3000) & (F.col("min_value") < 6000)
-    return pages.scan_pages(_paged_orders(spark, sf_dir), "o_orderkey", keep).select("row_pos", "o_orderkey")
+    return _stored(spark, sf_dir, "orders", ORDER_PAGES, ["o_orderkey"]).scan("o_orderkey", keep).select("row_pos", "o_orderkey")
 
 
 def pushdown_filter(spark, sf_dir):
@@ -112,13 +132,13 @@ def categorical_positions(spark, sf_dir):
 
 
 def categorical_lookup_or(spark, sf_dir):
-    index = catindex.bitmaps(_lines(spark, sf_dir), "l_returnflag")
-    return catindex.cardinality(catindex.any_of(index, ["A", "R"]))
+    store = _stored(spark, sf_dir, "lineitem", LINES, LINE_ORDER)
+    return catindex.cardinality(catindex.any_of(store.categorical("l_returnflag"), ["A", "R"]))
 
 
 def categorical_lookup_and(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    flags, states = catindex.bitmaps(rows, "l_returnflag"), catindex.bitmaps(rows, "l_linestatus")
+    store = _stored(spark, sf_dir, "lineitem", LINES, LINE_ORDER)
+    flags, states = store.categorical("l_returnflag"), store.categorical("l_linestatus")
     return catindex.cardinality(catindex.all_of(catindex.any_of(flags, ["A", "N"]), catindex.any_of(states, ["F"])))
 
 
@@ -142,8 +162,42 @@ def phrase_search_index(spark, sf_dir):
 
 
 def ngram_windows(spark, sf_dir):
-    grams = _table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.windows(tx.tokens(F.col("text")), 3, 2)).alias("gram"))
-    return grams.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("gram").alias("n_distinct"), F.sum(F.length("gram")).alias("chars"))
+    def stats(grams: F.Column) -> F.Column:
+        chars = F.aggregate(grams, F.lit(0).cast("bigint"), lambda acc, g: acc + F.length(g))
+        return F.struct(F.size(grams).cast("bigint").alias("n"), F.size(F.array_distinct(grams)).cast("bigint").alias("n_distinct"), chars.alias("chars"))
+
+    found = tx.bound_once(tx.windows(tx.tokens(F.col("text")), 3, 2), stats)
+    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", found.alias("s")).select("doc_id", "s.n", "s.n_distinct", "s.chars")
+
+
+def document_directory(spark, sf_dir):
+    store = _stored(spark, sf_dir, "documents", BOOKS, ["doc_id"])
+    return store.directory("text").join(store.rows().select("row_pos", "doc_id"), "row_pos").select("doc_id", "row_pos", "size", "start", "n_tokens", "n_distinct")
+
+
+def stored_phrase_search(spark, sf_dir):
+    store = _stored(spark, sf_dir, "documents", BOOKS, ["doc_id"])
+    return store.search("text", PHRASE).join(store.rows().select("row_pos", "doc_id"), "row_pos").select("doc_id")
+
+
+def packed_values(spark, sf_dir):
+    groups = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_partkey").cast("bigint"))).alias("v"))
+    packed = groups.select("l_orderkey", "v", bp.encode_values(F.col("v"), "u32").alias("p"))
+    back = bp.decode_values(F.col("p"), "u32")
+    return packed.select("l_orderkey", F.col("p.width").cast("bigint").alias("width"), F.length("p.bytes").cast("bigint").alias("n_bytes"), F.array_join(back.cast("array<string>"), ",").alias("values"))
+
+
+def unsigned64_roundtrip(spark, sf_dir):
+    value = F.col("o_orderkey").cast("decimal(12,0)") * F.lit(_SPREAD).cast("decimal(20,0)") % F.lit(str(1 << 64)).cast("decimal(20,0)")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", value.cast("decimal(20,0)").alias("v")).withColumn("code", en.from_unsigned(F.col("v")))
+    return rows.select("o_orderkey", "code", en.bit_width(F.col("code")).cast("bigint").alias("width"), en.to_unsigned(F.col("code")).cast("string").alias("value"))
+
+
+def bucketed_get(spark, sf_dir):
+    name = "keyed_part_" + "".join(c if c.isalnum() else "_" for c in f"{spark.sparkContext.applicationId}{sf_dir}")
+    if not spark.catalog.tableExists(name):
+        keytable.write(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("payload")), name)
+    return keytable.multi_get(spark, spark.table(name), "id", "payload", WANTED)
 
 
 def doc_inverted_index(spark, sf_dir):
@@ -195,6 +249,9 @@ def skill_list(spark, sf_dir):
     return rows.select("id", F.size(numbers).cast("bigint").alias("n"), F.array_join(numbers.cast("array<string>"), ",").alias("numbers"))
 
 
+#: Spreads small keys over all 64 bits.
+_SPREAD = 2_862_933_555_777_941_757
+
 _ROWS = [("' 7 '", "''", "'1.5'", "'[1|2| x |70000|3]'", "'  boss '"), ("null", "'3'", "' '", "null", "''"), ("'-2'", "'\t4'", "null", "'5|5'", "'a b'")]
 SOURCE = [
     Source("rcid", "int"), Source("next_rcid", "int", "new_rcid"), Source("weight", "double"), Source("skills", "array<int>", "skill_list"),
@@ -212,7 +269,7 @@ _CATALOGUE = [
     page_skip_scan, pushdown_filter, categorical_index, categorical_positions, categorical_lookup_or, categorical_lookup_and, tokenize_stats,
     positional_index, phrase_search, phrase_search_index, ngram_windows, doc_inverted_index, token_membership, multi_get, multi_key_write,
     bucket_histogram, section_slice, empty_to_default, skill_list,
-    ingest_rows,
+    ingest_rows, document_directory, stored_phrase_search, packed_values, unsigned64_roundtrip, bucketed_get,
 ]
 
 
@@ -271,6 +328,15 @@ def oracle_sql() -> dict[str, str]:
         " cast(coalesce(nullif(trim(weight, ' \t'), ''), '0') as double) as weight, coalesce(array_to_string(list_filter(list_transform(string_split(trim(skill_list, '[]'), '|'),"
         " lambda x: try_cast(trim(x) as int)), lambda v: v between 0 and 65535), ','), '') as skills, coalesce(trim(title_raw, ' \t'), '') as title, 0 as mapped_role, false as inflow"
         f" from (values {', '.join(f'({chr(44).join(r)})' for r in _ROWS)}) t(rcid, new_rcid, weight, skill_list, title_raw)",
+        "document_directory": "select d.doc_id, row_pos, size, cast(sum(size) over (order by d.doc_id) - size as bigint) as start, n_tokens, n_distinct from (select doc_id,"
+        " row_number() over (order by doc_id) - 1 as row_pos, octet_length(encode(text)) as size from documents) d join"
+        f" (select doc_id, count(*) as n_tokens, count(distinct token) as n_distinct from (select doc_id, {_TOKENS} as token from documents) group by doc_id) t using (doc_id)",
+        "stored_phrase_search": "select doc_id from documents where contains(' ' || text || ' ', ' the the ')",
+        "packed_values": "select l_orderkey, max(length(bin(l_partkey))) as width, 4 + cast(ceil(count(*) * max(length(bin(l_partkey))) / 8.0) as bigint) as n_bytes,"
+        " string_agg(l_partkey, ',' order by l_partkey) as values from lineitem group by l_orderkey",
+        "unsigned64_roundtrip": "select o_orderkey, cast(case when v >= 9223372036854775808 then v - 18446744073709551616 else v end as bigint) as code, length(bin(cast(v as ubigint))) as width,"
+        f" cast(v as varchar) as value from (select o_orderkey, o_orderkey::hugeint * {_SPREAD}::hugeint % 18446744073709551616::hugeint as v from orders)",
+        "bucketed_get": f"select ordinal, w.id, p_partkey is not null as found, p_name as payload from (values {wanted}) w(ordinal, id) left join part on p_partkey = w.id",
         "skill_list": "select id, len(numbers) as n, array_to_string(numbers, ',') as numbers from (select id, list_filter(list_transform(string_split(trim(raw, '[]'), '|'),"
         f" lambda x: try_cast(trim(x) as int)), lambda v: v between 0 and 65535) as numbers from (values {lists}) t(id, raw))",
     }

@@ -12,24 +12,23 @@ class Container:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def ids(self) -> set[int]:
+    def _exists(self) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return set()
-        return {r["column_id"] for r in self.spark.read.parquet(self.path).select("column_id").distinct().collect()}
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def write(self, columns: DataFrame) -> None:
         """Add (column_id, bytes) rows; an id that is there already is an error."""
-        new = [r["column_id"] for r in columns.select("column_id").collect()]
-        if len(set(new)) < len(new) or self.ids() & set(new):
+        repeated = columns.groupBy("column_id").count().where("count > 1").limit(1).count()
+        if repeated or (self._exists() and columns.join(self.spark.read.parquet(self.path).select("column_id").distinct(), "column_id", "left_semi").limit(1).count()):
             raise ValueError("column ids must be unique")
         columns.write.mode("append").partitionBy("column_id").parquet(self.path)
 
     def column(self, column_id: int) -> DataFrame:
         """(bytes) of one column; an unknown id is an error."""
-        if column_id not in self.ids():
+        found = self.columns([column_id]) if self._exists() else None
+        if found is None or found.isEmpty():
             raise KeyError(column_id)
-        return self.spark.read.parquet(self.path).where(F.col("column_id") == column_id).select("bytes")
+        return found.select("bytes")
 
     def columns(self, column_ids: list[int]) -> DataFrame:
         """(column_id, bytes) of those that there are."""

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 _local: str | None = None
 #: Path of every step that still exists, with the file system and path objects that delete it.
 _written: dict[str, tuple[object, object]] = {}
-_kept: dict[tuple[str, ...], DataFrame] = {}
 _scopes = threading.local()
 
 
@@ -54,12 +53,17 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
+def at_exit(path: str) -> None:
+    """Have the file system delete what was written at ``path`` when the JVM ends."""
+    files, where = _written[path]
+    files.deleteOnExit(where)  # takes existing paths only
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    files, where = _written[path]
-    files.deleteOnExit(where)  # takes existing paths only
+    at_exit(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._step = path
     return out
@@ -109,14 +113,6 @@ def existing() -> list[str]:
 
 def release(but: list[str] | None = None) -> None:
     """Delete all steps, except those whose paths ``but`` holds. Results that read them must have been written."""
-    _kept.clear()
     for path in [p for p in _written if p not in (but or ())]:
         _delete(path)
 
-
-def once(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
-    """The step called ``key`` in this application: made when first asked for, read from then on."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _kept or _kept[key]._step not in _written:
-        _kept[key] = materialize(make())
-    return _kept[key]

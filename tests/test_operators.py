@@ -1,4 +1,9 @@
+import os
 import random
+import re
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +131,107 @@ def test_bucketed_table_prunes_buckets(spark, tmp_path):
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
 
 
+def test_stored_table_and_its_indexes(spark, tmp_path):
+    from lodestrata.operators.store import ColumnStore
+
+    words = ["ash", "birch", "cedar"]
+    df = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("k"), (F.col("id") % 3).cast("string").alias("kind"), F.concat_ws(" ", *(F.element_at(F.array(*map(F.lit, words)), (F.col("id") % m % 3 + 1).cast("int")) for m in (3, 5))).alias("text"))
+    spec = TableSpec((FieldSpec("k", rename="key"), FieldSpec("kind", index=True, index_type="categorical"), FieldSpec("text", index=True, index_type="doc_index", index_path=str(tmp_path / "words"))), base_path=str(tmp_path / "t"))
+    ColumnStore(spark, spec).write(df, ["key"], 1000)
+    store = ColumnStore(spark, spec)  # opened anew: everything is read back
+    kept = store.scan("key", (F.col("max_value") >= 3500) & (F.col("min_value") < 4500))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(page_id), GreaterThanOrEqual(page_id,3), LessThanOrEqual(page_id,4)]" in plan and "Exchange" not in plan
+    assert sorted(r.key for r in kept.collect()) == list(range(3000, 5000))
+    assert store.scan("key", F.lit(False)).count() == 0
+    assert store.scan("key", F.col("page_id") % 2 == 0).count() == 10_000
+    index = store.categorical("kind")
+    assert "Window" not in index._jdf.queryExecution().executedPlan().toString()
+    assert catindex.cardinality(catindex.any_of(index, ["0", "2"])).first().n == df.where("kind <> '1'").count()
+    rows = {r.row_pos: r.text for r in store.rows().collect()}
+    assert {r.row_pos for r in store.search("text", ["birch", "ash"]).collect()} == {p for p, t in rows.items() if t == "birch ash"}
+    start = 0
+    for r in store.directory("text").orderBy("row_pos").limit(100).collect():
+        text = rows[r.row_pos]
+        assert (r.start, r.size, r.n_tokens, r.n_distinct) == (start, len(text), 2, len(set(text.split())))
+        start += r.size
+    with pytest.raises(KeyError):
+        store.tokens("kind")
+
+
+def test_bloom_filter_answers_for_absent_tokens(spark, tmp_path):
+    from lodestrata.sources.container import write_columns
+
+    index = spark.range(50_000).select(F.concat(F.lit("w"), F.col("id") * 2).alias("token"), "id").repartition(4)
+    write_columns(index, str(tmp_path / "t"), bloom=["token"])
+
+    def read(token):
+        found = spark.read.parquet(str(tmp_path / "t")).where(F.col("token") == token)
+        found.collect()
+        scan = re.search(r"FileScan", found._jdf.queryExecution().executedPlan().toString())
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert scan and "EqualTo(token" in leaf.toString()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    # within the range of all row groups, yet not in them: nothing is read but filters
+    assert read("w30001") == 0
+    assert read("w30000") > 0
+
+
+def test_key_tables_are_written(spark):
+    rows = spark.range(100).select("id", F.col("id").cast("string").alias("payload"))
+    try:
+        keytable.write(rows, "written_keys", buckets=4)
+        got = keytable.multi_get(spark, spark.table("written_keys"), "id", "payload", [5, 500]).collect()
+        assert [(r.id, r.found, r.payload) for r in got] == [(5, True, "5"), (500, False, None)]
+        with pytest.raises(ValueError, match="no rows"):
+            keytable.write(rows.limit(0), "written_keys_2")
+    finally:
+        spark.sql("drop table if exists written_keys")
+
+
+def test_hot_first_key_and_nulls(spark):
+    df = spark.createDataFrame([(1, k, k * 3) for k in range(1000)], "a long, b long, v long")
+    ordered = Ordered(df, ["a", "b"], 8)
+    assert ordered.df.groupBy("__segment").count().agg(F.max("count")).first()[0] < 400
+    assert sorted((r.row_pos, r.b) for r in ordered.positions().collect()) == [(k, k) for k in range(1000)]
+    for segments in (1, 2):
+        with pytest.raises(Exception, match="null has no difference"):
+            Ordered(spark.createDataFrame([(0, 5), (1, None), (2, 7)], "k long, v long"), ["k"], segments).delta("v").collect()
+
+
+def test_steps_are_deleted(spark, tmp_path):
+    from lodestrata import steps
+
+    before = set(steps.existing())
+    with steps.scope() as keep:
+        first = steps.materialize(spark.range(3))
+        second = keep(steps.materialize(first))
+        third = steps.materialize(second)
+        steps.free(third)
+    assert set(steps.existing()) - before == {second._step} and second.count() == 3
+    where = second._step.removeprefix("file:")
+    assert os.path.isdir(where.replace("//", "/"))
+    steps.free(second)
+    assert not os.path.exists(where.replace("//", "/")) and set(steps.existing()) == before
+
+
+def test_no_step_is_left_behind_a_driver(tmp_path):
+    """Neither after stop() nor at the end: results that nobody freed go with the driver."""
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n"
+        "from lodestrata import steps\n"
+        "steps.materialize(s.range(3)); s.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True)
+    for _ in range(50):  # the JVM ends a little after the driver
+        if not list(tmp_path.rglob("*.parquet")):
+            break
+        time.sleep(0.2)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_buckets():
     assert keytable.bucket_count(15000) == 15000 * 20 // 512 + 1
     with pytest.raises(ValueError, match="no rows"):

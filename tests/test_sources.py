@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators import catindex
 from lodestrata.operators.project import FieldSpec, TableSpec
 from lodestrata.sources.container import Container, section, strict_section
 from lodestrata.sources.ingest import Source, read_delimited
@@ -46,11 +47,13 @@ def test_stream_appends_columns_and_index(spark, tmp_path):
     from lodestrata.streaming.sink import append_columns
 
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "doc_id long, text string"
-    spec = TableSpec((FieldSpec("doc_id", rename="id"), FieldSpec("text", T.StringType(), encoder="string")))
-    for k, rows in enumerate([[(1, "a b")], [(2, "b b")]]):
+    schema = "doc_id long, text string, kind string"
+    spec = TableSpec((FieldSpec("doc_id", rename="id"), FieldSpec("text", T.StringType(), encoder="string", index=True, index_type="doc_index"),
+                      FieldSpec("kind", T.StringType(), encoder="string", index=True, index_type="categorical", index_path=str(tmp_path / "kinds"))), base_path=out)
+    for k, rows in enumerate([[(1, "a b", "x")], [(2, "b b", "x")]]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
-        append_columns(spark.readStream.schema(schema).parquet(source), spec, out, str(tmp_path / "checkpoint"), ("doc_id", "text")).awaitTermination(60)
+        append_columns(spark.readStream.schema(schema).parquet(source), spec, None, str(tmp_path / "checkpoint"), "id").awaitTermination(60)
         assert spark.read.parquet(f"{out}/columns").count() == k + 1
     assert spark.read.parquet(f"{out}/columns").columns[:2] == ["id", "text"]
-    assert {(r.token, r.doc_id, r.freq) for r in spark.read.parquet(f"{out}/index").collect()} == {("a", 1, 1), ("b", 1, 1), ("b", 2, 2)}
+    assert catindex.cardinality(catindex.any_of(spark.read.parquet(str(tmp_path / "kinds")), ["x"])).first().n == 2
+    assert {(r.token, r.id, r.freq) for r in spark.read.parquet(f"{out}/index/text").collect()} == {("a", 1, 1), ("b", 1, 1), ("b", 2, 2)}
