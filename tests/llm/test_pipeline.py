@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lodestrata import steps
 from lodestrata.llm import toxicity
 from lodestrata.llm.common import documents, labels
 
@@ -49,5 +50,40 @@ def test_stages_follow_each_other(spark):
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect()} == want
 
 
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing names, no rows; each stage alone and run()."""
+    names = ["base", "proposals", "spans", "row", "id", "now", "kept", "component_id", "__gone"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    more = tuple(names)
+    long = " ".join("".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(60_000))
+    rows = [(1, None, None, *more), (2, "", "en", *more), (None, "no id", None, *[None] * len(names)), (None, None, None, *more), (3, long, "en", *more), (4, "same words", "en", *more),
+            (4, "same words", "en", *more), (4, "other words here", "de", *more), (5, long + " tail", "en", *more), (6, "write to a@b.org", None, *more)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns, name
+        found = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+        if name == "near_copies":
+            want = [(1, None), (2, ""), (None, "no id"), (None, None), (3, long), (4, "other words here"), (6, "write to a@b.org")]
+        elif name == "personal_data":
+            want = [(r[0], r[1].replace("a@b.org", "[EMAIL]") if r[1] else r[1]) for r in rows]
+        elif name == "repeated_passages":
+            want = [(r[0], " tail" if r[0] == 5 else r[1]) for r in rows]
+            assert [d for d, _ in found] == [d for d, _ in sorted(want, key=repr)]
+            continue
+        else:
+            want = [(r[0], r[1]) for r in rows]
+        assert found == sorted(want, key=repr), name
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    pieces = corpus_pipeline.pack(spark, docs, DATA).collect()
+    assert sum(r.piece == 0 for r in pieces) == len(rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark, DATA).write.parquet(str(tmp_path / "labels.parquet"))
+    before = set(steps.existing())
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted({r.doc_id or 0 for r in out.collect()}) == [0, 1, 2, 3, 4, 6]
+    assert set(steps.existing()) - before == {out._step}
+
+
 def test_five_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "repeated_passages", "personal_data", "packing"]
