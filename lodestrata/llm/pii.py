@@ -30,10 +30,12 @@ all columns of the caller, whatever their names and nulls, apart from its own wo
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound_once
 from .common import materialize
 
 #: In the order in which equal starts are listed.
@@ -60,6 +62,23 @@ LABELERS = ("shape", "gazetteer", "context", "alternation", "strict")
 _SPAN = "array<struct<start:int,kind:int,stop:int,hit:string,before:string,after:string>>"
 
 
+#: Elements that one fold goes through. Extending an array costs its length each time, so long arrays are folded in runs, and the runs' starts beside them.
+RUN = 64
+
+
+def _runs(items: Column) -> Column:
+    """The array in parts of RUN elements, in order; one empty part for an empty array."""
+    parts = lambda a: F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / RUN).cast("int"), F.lit(0)))
+    return bound_once(items, lambda a: F.transform(parts(a), lambda i: F.slice(a, i * RUN + 1, RUN)))
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number, the fold of those before it, from 0."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    more = lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, start, more, lambda acc: acc["out"])
+
+
 def _hits(text: Column, pattern: str, hint: str, kind: int) -> Column:
     """All matches with their places. The text parted at the matches gives the gaps between them."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -76,8 +95,13 @@ def _hits(text: Column, pattern: str, hint: str, kind: int) -> Column:
         more = F.when(x["hit"].isNotNull(), F.concat(acc["out"], F.array(entry))).otherwise(acc["out"])
         return F.struct((start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), more.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(run: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+        return F.aggregate(run, start, step, lambda acc: acc["out"])
+
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    sizes = lambda runs: F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda acc, x: acc + size(x)))
+    found = bound_once(_runs(pairs), lambda runs: F.flatten(F.zip_with(runs, _running(sizes(runs), lambda at, n: at + n), placed)))
     if kind >= len(BASE):
         follow = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps), F.lit(1)))
         found = F.zip_with(found, follow, lambda x, gap: x.withField("after", F.left(gap, F.lit(2))))
@@ -120,6 +144,15 @@ def _checked(kind: str) -> Column:
     return F.filter(f"__{kind}", lambda x: CHECKS[kind](x["hit"]))
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``; runs of base spans that lie elsewhere are passed over as a whole."""
+    over = lambda x, y: (y["start"] < x["stop"]) & (x["start"] < y["stop"])
+    least = lambda run: F.coalesce(F.array_min(F.transform(run, lambda y: y["start"])), F.lit(0))
+    most = lambda run: F.coalesce(F.array_max(F.transform(run, lambda y: y["stop"])), F.lit(0))
+    runs = F.transform(_runs(base), lambda run: F.struct(least(run).alias("start"), most(run).alias("stop"), run.alias("spans")))
+    return bound_once(runs, lambda all_: F.filter(spans, lambda x: ~F.exists(all_, lambda run: over(x, run) & F.exists(run["spans"], lambda y: over(x, y)))))
+
+
 def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
@@ -135,7 +168,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
     for kind in BASE:
         out = out.withColumn(f"__{kind}", _checked(kind))
     out = out.withColumn("__base", F.array_sort(F.concat(*(f"__{kind}" for kind in BASE))))
-    apart = F.filter("__more", lambda x: ~F.exists("__base", lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"])))
+    apart = _apart(F.col("__more"), F.col("__base"))
     number = len(BASE) + 1
     proposals = F.transform(
         apart,
@@ -222,20 +255,34 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_spelt(F.col("base")), 256).alias("base_sha256"), _spelt(F.col("spans")).alias("spans"))
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with the spans, ordered by start, replaced. Each run reads the part of the text from where those before it ended."""
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    end = lambda run: F.coalesce(F.array_max(F.transform(run, lambda x: x["stop"])), F.lit(0))
+
+    def replaced(run: Column, at: Column) -> Column:
+        def of(part: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                gap = F.substring(part, acc["at"] - at + 1, x["start"] - acc["at"])
+                new = F.concat(acc["out"], gap, F.element_at(names, x["kind"] + 1))
+                return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(new).alias("out"))
+
+            return F.aggregate(run, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+        return bound_once(F.substring(text, at + 1, F.greatest(end(run) - at, F.lit(0))), of)
+
+    def whole(runs: Column) -> Column:
+        parts = F.zip_with(runs, _running(F.transform(runs, end), F.greatest), replaced)
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(runs, end)) + 1, F.length(text)))
+
+    return bound_once(_runs(spans), whole)
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets; overlapping spans become one."""
     columns = docs.columns
     found = materialize(find(docs, whole=True))
     out = decide(found, learn(found))
     own = lambda c: F.col(f"row.`{c}`")
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.coalesce(own("text"), F.lit(""))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        new = F.concat(acc["out"], gap, F.element_at(names, x["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(new).alias("out"))
-
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    masked = F.when(F.size("spans") > 0, done).otherwise(own("text"))
+    masked = F.when(F.size("spans") > 0, _masked(F.coalesce(own("text"), F.lit("")), F.col("spans"))).otherwise(own("text"))
     return out.select(*((masked if c == "text" else own(c)).alias(c) for c in columns))

@@ -204,6 +204,24 @@ def test_long_keys_are_proposed(spark, documents):
     assert f"secret:13:{13 + len(key)}" in spans.split(",")
 
 
+def test_many_spans_in_one_text(spark, documents):
+    """Tens of thousands of matches in one text, over all runs and their edges."""
+    text = " ".join(f"Key: k{k}x{k * 7919 % 9973}Zq{k % 7}, mail \u00fc{k % 10}u{k}@ex.org" for k in range(20_000))
+    rows = table(spark, [(900_000, text, "en"), (900_001, " ".join(text.split(" ")[: 4 * pii.RUN]), "en")])
+    docs = documents.limit(50).select("doc_id", "text", F.lit("en").alias("lang")).union(rows.select("doc_id", "text", "lang"))
+    found = {r.doc_id: r for r in pii.personal_data(docs).where("doc_id >= 900000").collect()}
+    assert found[900_000].n_email == 20_000 and found[900_001].n_email == pii.RUN
+    masked = {r.doc_id: r.text for r in pii.mask(docs).where("doc_id >= 900000").collect()}
+    for doc_id, t in rows.select("doc_id", "text").collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in found[doc_id].spans.split(","))]
+        assert [t[a:b] for k, a, b in spans if k == "email"] == re.findall(pii.PATTERNS["email"].replace(r"(?:\G|", "(?:"), t)
+        at, want = 0, []
+        for kind, a, b in spans:
+            want += [t[at:a], f"[{kind.upper()}]"] if a >= at else []
+            at = max(at, b)
+        assert masked[doc_id] == "".join(want) + t[at:]
+
+
 def test_main_path_is_native(spark):
     plan = pii.personal_data(table(spark, [(1, "a@b.c password=cf56f5256e617c382b", None)]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
