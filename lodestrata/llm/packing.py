@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bpe_chunks import slices
 from .common import batch_of, id_and_bytes, materialize, resident
-from .units import UnitCache
+from .units import UnitCache, parted
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,7 +37,7 @@ GROUP_PIECES = 16384
 class WordCodec(UnitCache):
     """Encoder for a tokenizer that drops white space and never joins across it.
 
-    The text's white-space-parted words are encoded apart, each once. Words of
+    The text's white-space-parted words, parted again between ASCII letters or digits and marks, are encoded apart, each once. Words of
     letters are in lower case and composed already, so the light tokenizer needs
     the byte-level spelling only; the vocabulary marks the ends of words.
     """
@@ -61,10 +61,14 @@ class WordCodec(UnitCache):
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         # Lower case comes before all else in the tokenizer, but for special tokens ("<|...|>").
-        split = [(raw if b"<|" in raw else raw.lower()).split() for raw in texts]  # at ASCII white space only
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        split = [raw.split() if b"<|" in raw else words for raw, words in zip(texts, parted(texts), strict=True)]
+        found = [list(map(self.known.get, words)) for words in split]
+        holes = [[k for k, ids in enumerate(some) if ids is None] for some in found]
+        self.learn({words[k] for words, some in zip(split, holes, strict=True) for k in some})
+        for words, some, missing in zip(split, found, holes, strict=True):
+            for k in missing:
+                some[k] = self.known[words[k]]
+        return [b"".join(some) for some in found]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])

@@ -13,6 +13,27 @@ CACHE_UNITS = 700_000
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
+#: Classes of lower-case bytes: 1 letters and digits, 2 marks, 4 the apostrophe, 0 all others.
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[[c for c in range(128) if chr(c).islower() or chr(c).isdigit()]] = 1
+_CLASS[list(MARKS)] = 2
+_CLASS[ord("'")] = 4
+#: Pairs of classes (8 * left + right) with a border of pre-tokens between them. None lies behind an apostrophe: "'s" is one.
+_BORDER = np.zeros(64, dtype=bool)
+_BORDER[[8 * 1 + 2, 8 * 1 + 4, 8 * 2 + 1]] = True
+
+
+def parted(texts: list[bytes]) -> list[list[bytes]]:
+    """The words of each text (white space ASCII, ASCII letters lower), parted also at the borders of ASCII letters or digits and marks."""
+    whole = np.frombuffer(b"\n".join(texts).lower(), dtype=np.uint8)
+    kind = _CLASS[whole]
+    cuts = np.flatnonzero(_BORDER[8 * kind[:-1] + kind[1:]]) + 1
+    spaced = np.insert(whole, cuts, ord(" ")).tobytes()
+    ends = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
+    ends += np.searchsorted(cuts, ends)
+    return [spaced[a:b].split() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+
 def is_latin(word: bytes) -> bool:
     """Only letters, all in the blocks that every Unicode version agrees on."""
     if word.isascii():

@@ -180,7 +180,8 @@ def test_encoding_query_on_odd_rows(docs, spark):
 def test_word_encoding_equals_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     tool, library = packing.WordCodec(path), Tokenizer.from_file(path)
-    texts = noise(2, [*PIECES, "B", ".", ",", "word. ", "WORD ", "<|startoftext|>", "ÅNGSTRÖM", "Ŀ "], 60)
+    texts = noise(2, [*PIECES, "B", ".", ",", "word. ", "WORD ", "<|startoftext|>", "ÅNGSTRÖM", "Ŀ ", "it's", "'LL", "!'s", "x'", "'9", "a-b", "_x_1", "(B)", "mail9.ex@am.org", "=\u0338", "e\u0301!", "\u2019s"], 200)
+    assert tool.encode([]) == [] and tool.encode([b"", b" \n"]) == [b"", b""]
     for text, ids in zip(texts, tool.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
