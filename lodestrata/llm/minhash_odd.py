@@ -52,6 +52,8 @@ SKETCH_BITS = 2048
 #: Chance that a pair at the threshold has sketches too far apart to be verified.
 MISS = 1e-6
 BLOCK = 4096
+#: Keys over which the pairs of one smallest member are dealt.
+SALTS = 256
 
 _WORDS = SKETCH_BITS // 64
 _FACTORS = np.random.default_rng(6).integers(0, 2**64, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -152,6 +154,18 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame
     return marked(docs, ids, each, "id long, hashes binary")
 
 
+def both_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs`` (a, b), a written step, with the columns of ``values`` (id, ...) for both ends, named ..._a and ..._b.
+
+    The smallest member of a large bucket is ``a`` in as many pairs as the bucket has members, so the pairs
+    of one ``a`` are dealt over SALTS keys, each with its own copy of the values (never more copies than pairs).
+    """
+    ends = [values.select(*(F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in values.columns)) for s in "ab"]
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    copies = dealt.select("a", "salt").distinct().join(ends[0], "a")
+    return dealt.join(copies, ["a", "salt"]).join(ends[1], "b").drop("salt")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -165,8 +179,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = LINK_PERCENT) ->
                 linked.append(100 * both >= percent * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(linked, pa.bool_()))
 
-    sides = [sets.select(F.col("id").alias(s), F.col("hashes").alias(f"of_{s}")) for s in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "of_a", "of_b").mapInArrow(each, "a long, b long")
+    return both_ends(pairs, sets.select("id", F.col("hashes").alias("of"))).select("a", "b", "of_a", "of_b").mapInArrow(each, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,10 +272,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = LINK_PE
     sketches = materialize(reps.join(near, "id", "left_semi"))
     sets = materialize(full_sets(docs, near, size))
 
-    stars = members.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    sides = [sketches.select(F.col("id").alias(s), F.col("odd").alias(f"odd_{s}")) for s in "ab"]
+    stars = materialize(members.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    likely = stars.join(sides[0], "a").join(sides[1], "b").where(apart <= bits).select("a", "b")
+    likely = materialize(both_ends(stars, sketches.select("id", "odd")).where(apart <= bits).select("a", "b"))
     found = components(verified(likely, sets, percent))
 
     tied = members.join(found, "id", "left").select("k", "id", F.coalesce("root", "id").alias("comp"))
@@ -276,7 +288,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = LINK_PE
     meets = F.when(F.col("in_main"), all_others).otherwise(F.concat(all_mains, all_others))
     dealt = placed.withColumn("block", F.when(F.col("in_main"), -1 - own).otherwise(own)).withColumn("with", F.explode(meets))
     dealt = dealt.select("k", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "id", "comp")
-    more = verified(across_components(dealt.join(sketches, "id"), bits), sets, percent)
+    more = verified(materialize(across_components(dealt.join(sketches, "id"), bits)), sets, percent)
     linked = found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)
     final = components(linked)
 

@@ -74,6 +74,16 @@ def test_blocks_of_large_buckets_lose_no_link(spark, monkeypatch):
         assert r.doc_id is None or r.component_id == want[r.doc_id][1]
 
 
+def test_pairs_of_one_hot_member_are_dealt_over_many_keys(spark):
+    pairs = spark.range(1, 5001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).union(spark.createDataFrame([(7, 9)], "a long, b long"))
+    values = spark.range(5001).select("id", (F.col("id") * 10).alias("of"))
+    got = minhash_odd.both_ends(pairs, values)
+    assert got.columns == ["b", "a", "of_a", "of_b"]
+    assert sorted((r.a, r.b, r.of_a, r.of_b) for r in got.collect()) == sorted([*((0, b, 0, 10 * b) for b in range(1, 5001)), (7, 9, 70, 90)])
+    keys = pairs.where("a = 0").groupBy(F.pmod(F.xxhash64("b"), F.lit(minhash_odd.SALTS))).count().collect()
+    assert len(keys) == minhash_odd.SALTS and max(r["count"] for r in keys) < 60
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_odd.near_duplicates(table(spark, []).limit(0)).count() == 0
     assert [r.kept for r in minhash_odd.near_duplicates(table(spark, [(1, None)])).collect()] == [True]
