@@ -8,7 +8,8 @@ and every confirmed item can be carved.
 
 Defined cases: a null blob has no items and keeps its declared type; a null
 declared type counts as unknown; a blob without a confirmed item at offset 0 is
-``application/octet-stream``; nested items are all reported, with their depth.
+``application/octet-stream``; nested items are all reported, with their depth; an
+empty table stays empty; repeated rows are sniffed each; blobs of any length are walked whole.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ MAGIC = {
 RIFF_KIND = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
+def _png(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
     pos, first = at + 8, True
     while pos + 12 <= len(b):
         size, name = struct.unpack_from(">I4s", b, pos)
@@ -63,7 +64,7 @@ def _png(b: bytes, at: int) -> tuple[str, int] | None:
 _JPEG_NEXT = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]", re.DOTALL)
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
     pos, frame = at + 2, False
     while pos + 4 <= len(b) and b[pos] == 0xFF:
         mark = b[pos + 1]
@@ -91,7 +92,7 @@ def _gif_blocks(b: bytes, pos: int) -> int:
     return pos + 1
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     flags, pos, images = b[at + 10], at + 13, 0
@@ -111,7 +112,7 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
+def _bmp(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
     if at + 26 > len(b):
         return None
     size, spare, start, header = struct.unpack_from("<IIII", b, at + 2)
@@ -137,7 +138,7 @@ def _riff_chunks(b: bytes, at: int) -> tuple[int, dict[bytes, tuple[int, int]]]
     return (end, found) if pos >= end else None
 
 
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+def _riff(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
     kind = RIFF_KIND.get(b[at + 8 : at + 12])
     walked = _riff_chunks(b, at) if kind else None
     if not walked or not walked[1]:
@@ -152,7 +153,7 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     return kind, walked[0] - at
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
     unzip, pos = zlib.decompressobj(31), at
@@ -165,47 +166,88 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
     return ("application/gzip", min(pos, len(b)) - len(unzip.unused_data) - at) if unzip.eof else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    pos = at
-    while b[pos : pos + 4] == b"PK\x03\x04" and pos + 30 <= len(b):
-        flags, _, _, _, _, packed, _, name, extra = struct.unpack_from("<HHHHIIIHH", b, pos + 6)
-        if flags & 8:
-            return None
-        pos += 30 + name + extra + packed
-    start, count = pos, 0
+def _descriptors(b: bytes) -> dict[int, int]:
+    """Start of an entry's data -> end of the data descriptor that states this distance."""
+    found, at = {}, b.find(b"PK\x07\x08")
+    while at >= 0 and at + 16 <= len(b):
+        packed = struct.unpack_from("<I", b, at + 8)[0]
+        found.setdefault(at - packed, at + 16)
+        at = b.find(b"PK\x07\x08", at + 4)
+    return found
+
+
+def _zip_entry(b: bytes, pos: int, known: dict) -> int | None:
+    """Place behind the entry at ``pos``; None if there is none or its length can't be told."""
+    if b[pos : pos + 4] != b"PK\x03\x04" or pos + 30 > len(b):
+        return None
+    flags, _, _, _, _, packed, _, name, extra = struct.unpack_from("<HHHHIIIHH", b, pos + 6)
+    data = pos + 30 + name + extra
+    if not flags & 8:
+        return data + packed
+    if "descriptors" not in known:
+        known["descriptors"] = _descriptors(b)
+    return known["descriptors"].get(data)
+
+
+def _zip_end(b: bytes, start: int) -> tuple[int, int, int] | None:
+    """(entries, stated offset of the directory, end) of the central directory at ``start``."""
+    pos, count = start, 0
     while b[pos : pos + 4] == b"PK\x01\x02" and pos + 46 <= len(b):
         name, extra, note = struct.unpack_from("<HHH", b, pos + 28)
         pos, count = pos + 46 + name + extra + note, count + 1
     if b[pos : pos + 4] != b"PK\x05\x06" or pos + 22 > len(b):
         return None
     total, size, offset, note = struct.unpack_from("<HIIH", b, pos + 10)
-    if total != count or size != pos - start or offset != start - at or pos + 22 + note > len(b):
+    if total != count or size != pos - start or pos + 22 + note > len(b):
         return None
-    return "application/zip", pos + 22 + note - at
+    return count, offset, pos + 22 + note
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    if not re.match(rb"%PDF-\d\.\d[\r\n]", b[at : at + 9]):
-        return None
-    start = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", start) if start >= 0 else -1
-    return ("application/pdf", end + 5 - at) if end >= 0 else None
+def _zip(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
+    """Entries up to a central directory that names the first one's place; chains with the same end are walked once."""
+    walked, pos = [], at
+    while pos not in known and (after := _zip_entry(b, pos, known)) is not None:
+        walked.append(pos)
+        pos = after
+    if pos not in known:
+        known[pos] = pos, _zip_end(b, pos)
+    known.update(dict.fromkeys(walked, known[pos]))
+    start, end = known[pos]
+    return ("application/zip", end[2] - at) if end and end[1] == start - at else None
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
-    pos = at
-    while b[pos : pos + 4] == b"OggS" and pos + 27 <= len(b) and b[pos + 4] == 0:
-        n = b[pos + 26]
-        size = 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if pos + size > len(b):
-            return None
-        last, pos = b[pos + 5] & 4, pos + size
+_PDF_HEAD = re.compile(rb"%PDF-\d\.\d[\r\n]")
+_PDF_END = re.compile(rb"startxref\s++\d++\s++%%EOF")
+
+
+def _pdf(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
+    """Up to the last end mark before the next file's header: updates are appended behind the first end mark."""
+    if not _PDF_HEAD.match(b, at):
+        return None
+    following = _PDF_HEAD.search(b, at + 5)
+    last = None
+    for last in _PDF_END.finditer(b, at, following.start() if following else len(b)):
+        pass
+    return ("application/pdf", last.end() - at) if last else None
+
+
+def _ogg(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
+    """Pages up to one marked as the last; a page that an earlier walk passed begins no file."""
+    pos, end, walked, begun = at, None, [], at in known
+    while pos not in known and b[pos : pos + 4] == b"OggS" and pos + 27 <= len(b) and b[pos + 4] == 0:
+        walked.append(pos)
+        n, last = b[pos + 26], b[pos + 5] & 4
+        pos += 27 + n + sum(b[pos + 27 : pos + 27 + n])
         if last:
-            return "audio/ogg", pos - at
-    return None
+            end = pos if pos <= len(b) else None
+            break
+    else:
+        end = known.get(pos)
+    known.update(dict.fromkeys(walked, end))
+    return ("audio/ogg", end - at) if end and not begun else None
 
 
-def _flac(b: bytes, at: int) -> tuple[str, int] | None:
+def _flac(b: bytes, at: int, known: dict) -> tuple[str, int] | None:
     """Metadata blocks state their lengths; frames don't, so it runs to the end."""
     pos, first = at + 4, True
     while pos + 4 <= len(b):
@@ -234,17 +276,14 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(blob: bytes, machine: ahocorasick.Automaton) -> tuple[int, list[tuple[str, int, int, int]]]:
     """(magic hits, confirmed items as (type, offset, length, depth) by offset)."""
-    hits, items, around, done = 0, [], [], {}
+    hits, items, around, known = 0, [], [], {kind: {} for kind in CHECKS}  # places walked, so that none is twice
     for last, (size, kind) in machine.iter(blob.decode("latin-1")):
         at, hits = last - size + 1, hits + 1
-        if kind in ("audio/ogg", "application/zip") and at < done.get(kind, 0):
-            continue  # a later page or entry of a file already walked
-        if found := CHECKS[kind](blob, at):
+        if found := CHECKS[kind](blob, at, known[kind]):
             while around and around[-1] <= at:
                 around.pop()
             items.append((found[0], at, found[1], len(around)))
             around.append(at + found[1])
-            done[kind] = at + found[1]
     return hits, items
 
 

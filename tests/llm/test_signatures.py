@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -64,6 +65,62 @@ def test_validators_find_type_and_length(kind):
         assert not [x for x in media.sniff(blob[:cut], machine)[1] if x[0] == kind and x[1] == 0]
 
 
+class Unseekable(io.RawIOBase):
+    """A target that makes the library write data descriptors."""
+
+    def __init__(self):
+        self.data = b""
+
+    def writable(self):
+        return True
+
+    def write(self, data):
+        self.data += bytes(data)
+        return len(data)
+
+
+def test_archives_with_descriptors_and_archives_inside_archives():
+    machine, out = media.automaton(), Unseekable()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "hello " * 50)
+        z.writestr("b.txt", "")
+    assert out.data[6] & 8
+    assert media.sniff(b"xx" + out.data + b"yy", machine)[1] == [("application/zip", 2, len(out.data), 0)]
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("first.txt", "1")
+        z.writestr("inner.zip", zipped())
+        z.writestr("streamed.zip", out.data)
+    blob = outer.getvalue()
+    want = [("application/zip", 0, len(blob), 0), ("application/zip", blob.index(zipped()), len(zipped()), 1), ("application/zip", blob.index(out.data), len(out.data), 1)]
+    assert media.sniff(blob, machine)[1] == want
+    assert media.sniff(b"PK\3\4 no archive" + zipped(), machine)[1] == [("application/zip", 15, len(zipped()), 0)]
+
+
+def test_updated_documents_run_to_their_last_end_mark():
+    machine = media.automaton()
+    updated = PDF + b"\nnew objects\nstartxref\n77\n%%EOF"
+    assert media.sniff(b"x" + updated + b" tail " + PDF, machine)[1] == [("application/pdf", 1, len(updated), 0), ("application/pdf", len(updated) + 7, len(PDF), 0)]
+    assert media.sniff(b"%PDF-1.4\nstartxref\nnone\n%%EOF", machine)[1] == []
+
+
+def test_pages_of_one_stream_are_one_item():
+    machine = media.automaton()
+    assert media.sniff(OGG + OGG, machine)[1] == [("audio/ogg", 0, len(OGG), 0), ("audio/ogg", len(OGG), len(OGG), 0)]
+    assert media.sniff(OGG[:31] * 3, machine)[1] == []
+
+
+@pytest.mark.parametrize("piece", [b"%PDF-1.4\n startxref ", b"PK\3\4" + bytes(26), b"PK\3\4\0\0\x08" + bytes(23), b"OggS\0\0" + bytes(21), b"PK\3\4" + bytes(26) + b"PK\1\2" + bytes(42), b"startxref \n %PDF-1.4 "])
+def test_hostile_repeats_take_linear_time(piece):
+    machine, seconds = media.automaton(), []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        hits, _ = media.sniff(piece * n, machine)
+        seconds.append(time.process_time() - start)
+        assert hits >= n
+    assert seconds[1] < 10 * seconds[0] + 0.5
+
+
 def test_declared_types_are_corrected_and_media_carved(spark):
     rows = [(1, png(), "image/jpeg"), (2, media.wav(b"xx" + png() + b"yyy"), "audio/wav"), (3, b"nothing", "image/png"), (4, None, "text/plain"), (5, b"", None)]
     df = spark.createDataFrame(rows, "id long, blob binary, declared string")
@@ -87,6 +144,7 @@ def test_stored_texts_read_back(docs):
         with wave.open(io.BytesIO(media.wav(padded))) as w:
             assert w.readframes(w.getnframes()) == padded
         assert (r.media_bytes, r.media_sha256) == (len(media.wav(padded)), hashlib.sha256(media.wav(padded)).hexdigest())
+    assert media.store_and_sniff(docs.limit(0)).count() == 0
 
 
 def noise(seed: int, pieces: list[str], most: int) -> list[str]:
