@@ -125,6 +125,16 @@ def test_quality_verdicts(spark, documents, labels):
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept) for r in got)
 
 
+def test_quality_verdicts_on_held_out_labels(spark, documents, labels):
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    judge = iforest.fit(documents, labels.where(~fold))
+    got = iforest.judge_documents(documents, judge).join(labels.where(fold), "doc_id").where("not base_failed").collect()
+    good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
+    assert len(good) > 20
+    assert sum(r.kept for r in good) >= 0.95 * len(good)
+    assert not bad or sum(not r.kept for r in bad) / len(bad) > 5 * sum(not r.kept for r in good) / len(good)
+
+
 def test_quality_odd_rows(spark, labels):
     none = labels.limit(0)
     got = iforest.quality(table(spark, ODD), none).collect()
