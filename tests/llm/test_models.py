@@ -144,6 +144,38 @@ def test_quality_odd_rows(spark, labels):
     assert len(set(iforest.judge_documents(table(spark, [(1, "a b c d e f g h i j k", None)] * 2), iforest.fit(table(spark, ODD), none)).collect())) == 1
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """One good row in twenty is of a kind that only shows beyond the first 8,000 hashes of ids."""
+    n = 8400
+    order = [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(order[8000:])
+    plain = lambda k: " ".join(f"{chr(97 + (k * j) % 26)}word{(k + j) % 97}" for j in range(1, 12 + k % 15))
+    rows = [(k, plain(k).upper() if k in late else plain(k), None) for k in range(n)] + [(n + k, plain(k).upper().replace(" ", " $ "), None) for k in range(60)]
+    labels = spark.createDataFrame([(d, int(d < n)) for d, _, _ in rows], "doc_id long, quality int")
+    docs = table(spark, rows)
+    assert iforest.fit(docs, labels).forest.n[:, 0].tolist() == [n] * iforest.TREES
+    got = [r for r in iforest.quality(docs, labels).collect() if not r.base_failed]
+    seen = [r.kept for r in got if r.doc_id in late]
+    assert len(seen) > 300 and sum(seen) >= 0.95 * len(seen)
+    assert sum(r.kept for r in got if r.doc_id >= n) <= 0.1 * 60
+
+
+def test_forest_counts_equal_brute_force():
+    draw = np.random.default_rng(3)
+    rows = np.round(draw.normal(size=(700, len(iforest.FEATURES))), 1)
+    forest = iforest.Forest(len(rows), rows.min(axis=0) - 1, rows.max(axis=0) + 1, lambda grown: grown.levels(rows), trees=5)
+    for feature, split, n in zip(forest.feature, forest.split, forest.n, strict=True):
+        inside = {0: rows}
+        for k in range(len(n)):
+            if k in inside:
+                assert n[k] == len(inside[k])
+                if feature[k] >= 0:
+                    right = inside[k][:, feature[k]] > split[k]
+                    inside |= {2 * k + 1: inside[k][~right], 2 * k + 2: inside[k][right]}
+            else:
+                assert n[k] == 0 and feature[k] == -1
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
