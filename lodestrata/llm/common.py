@@ -72,10 +72,10 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, long_rows: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (see ``steps``)."""
     small_batches(df.sparkSession)
-    return steps.materialize(df)
+    return steps.materialize(df, steps.LONG_ROWS if long_rows else None)
 
 
 def condensed(make: Callable[[], DataFrame]) -> DataFrame:

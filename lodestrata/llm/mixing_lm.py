@@ -55,6 +55,10 @@ PASSES = 4
 #: Logits are stored in steps of 1 / SCALE.
 SCALE = 12.0
 MAP_CONTEXTS, MAP_STEPS = 1024, 24
+#: Bytes of text that a task works on at once, and distinct keys that it holds before it passes their counts on.
+TEXT_BYTES, HELD = 1 << 20, 600_000
+#: Steps of paths in a stored row of lessons: 150 KB, as the JVM's heap grows and breaks up over larger arrays.
+LESSON_STEPS = 1 << 13
 END = 10
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -82,9 +86,16 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[own], lengths
 
 
+def chunks(batch: pa.RecordBatch, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts, as both sides of the Arrow channel hold a whole one."""
+    for start in range(0, batch.num_rows, most):
+        yield batch.slice(start, most)
+
+
 def count_all(docs: DataFrame, chosen: Column) -> DataFrame:
     """(kind, key, n) over the chosen rows: kind 0 words by hash, kind 1 byte sequences (those of other rows with 0), kind 2 rows."""
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+    most = HELD
 
     def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -97,7 +108,12 @@ def count_all(docs: DataFrame, chosen: Column) -> DataFrame:
         resident()
         held: list[list] = [[], []]
         rows = 0
-        for batch in (part for whole in batches for part in slices(whole, 2 << 20, column=0)):
+
+        def passed_on(k: int) -> Iterator[pa.RecordBatch]:
+            (keys, counts), held[k] = added(held[k]), []
+            yield from chunks(batch_of(schema, {"kind": np.full(len(keys), k, dtype=np.int32), "key": keys.view(np.int64), "n": counts}))
+
+        for batch in (part for whole in batches for part in slices(whole, TEXT_BYTES, column=0)):
             every, use = [x or b"" for x in batch.column(0).to_pylist()], batch.column(1).to_pylist()
             texts, others = ([x for x, u in zip(every, use, strict=True) if u is t] for t in (True, False))
             rows += len(texts)
@@ -106,12 +122,13 @@ def count_all(docs: DataFrame, chosen: Column) -> DataFrame:
             for k, keys, times in found:
                 some, n = np.unique(keys, return_counts=True)
                 held[k].append((some, n * times))
-                if sum(len(x) for x, _ in held[k][1:]) > 2_000_000:
+                if sum(len(x) for x, _ in held[k][1:]) > most:
                     held[k] = [added(held[k])]
+                    if len(held[k][0][0]) > most:
+                        yield from passed_on(k)
         for k in (0, 1):
             if held[k]:
-                keys, counts = added(held[k])
-                yield batch_of(schema, {"kind": np.full(len(keys), k, dtype=np.int32), "key": keys.view(np.int64), "n": counts})
+                yield from passed_on(k)
         yield batch_of(schema, {"kind": [2], "key": [0], "n": [rows]})
 
     small_batches(docs.sparkSession)
@@ -402,9 +419,10 @@ def learn(mixer: Mixer, seqs: DataFrame) -> None:
 
     def taught(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lesson in mixer.lessons(keys, n, n):
-            yield batch_of(schema, {c: [lesson[c].tobytes()] for c in _LESSON})
+            for start in range(0, len(lesson["n"]), LESSON_STEPS):
+                yield batch_of(schema, {c: [lesson[c][start : start + LESSON_STEPS].tobytes()] for c in _LESSON})
 
-    lessons = materialize(by_context(seqs, ["n"], taught, ", ".join(f"{c} binary" for c in _LESSON)))
+    lessons = materialize(by_context(seqs, ["n"], taught, ", ".join(f"{c} binary" for c in _LESSON)), long_rows=True)
 
     def summed(of: str, shape: tuple[int, ...]) -> np.ndarray:
         """The sum of what the mixer, as it is now, makes of every lesson."""
@@ -412,10 +430,9 @@ def learn(mixer: Mixer, seqs: DataFrame) -> None:
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shape)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    lesson = {c: np.frombuffer(row[c], dtype=t) for c, t in _LESSON.items()}
-                    total += getattr(mixer, of)(lesson | {"x": lesson["x"].reshape(-1, ORDER + 1)})
+            for batch in (part for whole in batches for part in slices(whole, 1 << 20, column=0)):
+                lesson = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=t) for c, t in _LESSON.items()}
+                total += getattr(mixer, of)(lesson | {"x": lesson["x"].reshape(-1, ORDER + 1)})
             at = np.flatnonzero(total)
             yield batch_of(sums, {"cell": at, "v": total.ravel()[at]})
 
@@ -444,7 +461,7 @@ def train(docs: DataFrame, chosen: Column) -> tuple[Model, DataFrame, DataFrame]
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bits", pa.float64())])
 
     def each(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield batch_of(schema, {"key": keys.view(np.int64), "n": n, "bits": mixer.bits_among(keys, n)})
+        yield from chunks(batch_of(schema, {"key": keys.view(np.int64), "n": n, "bits": mixer.bits_among(keys, n)}))
 
     bits = materialize(by_context(seqs, ["n"], each, "key long, n long, bits double"))
     frequent = F.col("n") >= max(1.0, bytes_ * MIN_SHARE)
@@ -480,7 +497,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, rare_bits: DataFrame
         bits_of = m.finder()
         row = TaskContext.get().partitionId() << 33
         empty = m.log10(np.array([m.ends]))[0]
-        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, TEXT_BYTES)):
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             keys, lengths = sequences(texts)
             each_bits = bits_of(keys)
@@ -502,8 +519,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, rare_bits: DataFrame
                 pa.array(bits), pa.array(lengths), none, none, none,
             ], schema=_PARTS)
             # the rarer words and sequences: one row per document and each, to meet their counts and bits by key
-            yield _per_row(words[~hit], owner[~hit], "word", row)
-            yield _per_row(keys[far], np.searchsorted(np.cumsum(lengths), far, side="right"), "seq", row)
+            yield from chunks(_per_row(words[~hit], owner[~hit], "word", row))
+            yield from chunks(_per_row(keys[far], np.searchsorted(np.cumsum(lengths), far, side="right"), "seq", row))
             row += len(texts)
 
     kinds = "row long, doc_id long, n_tokens long, known long, base double, bits double, n_bytes long, word long, seq long, times long"

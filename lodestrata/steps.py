@@ -59,10 +59,17 @@ def at_exit(path: str) -> None:
     files.deleteOnExit(where)  # takes existing paths only
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: For rows of a hundred kilobytes and more: Parquet looks at the size of a page and of a row group every hundred rows, and holds all until then.
+LONG_ROWS = {
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1000", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(2 << 20),
+    "parquet.page.size": str(256 << 10), "parquet.enable.dictionary": "false",
+}
+
+
+def materialize(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     at_exit(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._step = path

@@ -34,6 +34,25 @@ def labels(spark):
 ODD = [(1, None, "en"), (2, "", "fr"), (3, " \n\t ", None), (None, "no id at all here", "en"), (4, "same words same words", "en"), (4, "same words same words", "en"), (5, "12 34 !!", "de"), (6, "Ünïcödé " * 30000, "de")]
 
 
+def test_language_model_stores_short_rows_and_passes_counts_on(spark, documents, monkeypatch):
+    """Stored lessons stay far below half a megabyte, and scores don't depend on how many keys a task holds."""
+    rows, longest, write = documents.limit(300), [], mixing_lm.materialize
+
+    def written(df, **options):
+        out = write(df, **options)
+        if "gate" in out.columns:
+            longest.append(out.agg(F.max(sum(F.length(c) for c in out.columns))).first()[0])
+        return out
+
+    monkeypatch.setattr(mixing_lm, "materialize", written)
+    scores = lambda: {r.doc_id: (r.n_known, r.base_score, r.score) for r in mixing_lm.score_documents(rows).collect()}
+    want = scores()
+    monkeypatch.setattr(mixing_lm, "HELD", 500)
+    got = scores()
+    assert len(longest) == 2 and max(longest) < 1 << 18
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in want)
+
+
 def test_language_model_base_and_totals(spark, documents):
     rows = [(r.doc_id, r.text, None) for r in documents.limit(300).collect()] + [(900001 + k, t, None) for k, (_, t, _) in enumerate(ODD[:3])]
     tokens = {d: [*(t or "").encode().lower().split(), None] for d, t, _ in rows}
